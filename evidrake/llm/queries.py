@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_codec, token_files, warc
-from .common import prepare, table
+from . import byte_codec, embedding_dedup, merkle, packing, token_files, warc
+from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,12 +23,24 @@ def op3_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_codec.query(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(spark, table(spark, sf_dir, "pages"))
 
 
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_byte_codec, op9_warc)
+    f.__name__: f for f in (op2_token_files, op3_byte_codec, op6_packing, op8_embedding_dedup, op9_warc, op10_merkle)
 }
 
 ORACLE_SQL: dict[str, str] = {
