@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_codec, embedding_dedup, merkle, packing, token_files, warc
+from . import byte_codec, embedding_dedup, merkle, packing, shingle_join, token_files, warc
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op3_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_codec.query(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
 
 
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -40,7 +44,7 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_byte_codec, op6_packing, op8_embedding_dedup, op9_warc, op10_merkle)
+    f.__name__: f for f in (op2_token_files, op3_byte_codec, op5_shingle_join, op6_packing, op8_embedding_dedup, op9_warc, op10_merkle)
 }
 
 ORACLE_SQL: dict[str, str] = {
