@@ -16,6 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each
 
 from tokenizers import Tokenizer  # noqa: E402
 
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -29,13 +30,20 @@ class ChunkEncoder:
 
     LONG = 48  # longer chunks are encoded but not remembered
 
-    def __init__(self, path: str, white_space_dropped: bool = False, memo_entries: int = 250_000):
+    def __init__(self, path: str, white_space_dropped: bool = False, memo_entries: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dropped, self.limit = white_space_dropped, memo_entries
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @classmethod
+    def of(cls, path: str, white_space_dropped: bool = False) -> ChunkEncoder:
+        """One for each worker process, so that its memo serves all tasks there."""
+        if (path, white_space_dropped) not in _encoders:
+            _encoders[path, white_space_dropped] = cls(path, white_space_dropped)
+        return _encoders[path, white_space_dropped]
+
     def _chunks(self, text: str) -> list[str]:
         if self.dropped:
             return text.replace("\n", " ").split(" ")

@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
     arrow = arrow_schema(docs.sparkSession, _PIECES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = ChunkEncoder(vocabulary, white_space_dropped=True), TaskContext.get().partitionId(), defaultdict(int)
+        encoder, part, seen = ChunkEncoder.of(vocabulary, white_space_dropped=True), TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             rows = []
             for doc, data in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):

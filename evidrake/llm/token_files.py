@@ -130,7 +130,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int | No
     tail = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = ChunkEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, seq = ChunkEncoder.of(vocabulary), TaskContext.get().partitionId(), 0
         ids, names, ends, total = [], [], [], 0
         rows: list[tuple] = []
 
