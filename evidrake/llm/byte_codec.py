@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, prepare
+from .common import extended, map_rows, prepare
 
 #: Code points above which a text is cut.
 LONG = 50_000
@@ -61,15 +61,13 @@ class ByteCodec:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of ``docs`` and ``ids``; raises where ``ids`` is there already."""
-    if ids in docs.columns:
-        raise ValueError(f"{ids} is a column already")
-    fields = docs.schema.add(ids, "array<int>")
+    fields = extended(docs, f"{ids} array<int>")
 
     def run(c: dict) -> dict:
         codec = ByteCodec.of(path, pattern)
         return c | {ids: [codec.encode(t or "") for t in c[text]]}
 
-    return map_rows(docs, run, fields.toDDL())
+    return map_rows(docs, run, fields)
 
 
 def query(documents: DataFrame, path: str, pattern: str) -> DataFrame:

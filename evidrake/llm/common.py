@@ -4,18 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch sent to Python; whole texts are long, so the default of 10,000 is too many.
 BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session (rows only; results do not depend on it)."""
+    """Send this package to the Python workers, and bound the Arrow batches (rows only; results do not depend on it)."""
+    context = spark.sparkContext
+    if getattr(context, "_evidrake_sent", None) is None:
+        root = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="evidrake-code-")) / "evidrake_code.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(target))
+        context._evidrake_sent = True
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -66,8 +79,9 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with ``fn(columns: dict of lists) -> dict of lists`` on each batch."""
+    prepare(df.sparkSession)
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +93,16 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFram
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
-    return to_arrow_schema(StructType.fromDDL(schema))
+
+def extended(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` and further columns; raises where one of these is there already (in any case)."""
+    new = StructType.fromDDL(more)
+    if clash := {c.lower() for c in new.names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns already there: {', '.join(sorted(clash))}")
+    return StructType([*df.schema.fields, *new.fields])
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
