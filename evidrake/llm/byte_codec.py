@@ -60,7 +60,7 @@ class ByteCodec:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and ``ids``; raises where ``ids`` is there already."""
+    """All columns of ``docs`` and ``ids``; a column of that name is replaced."""
     fields = extended(docs, f"{ids} array<int>")
 
     def run(c: dict) -> dict:

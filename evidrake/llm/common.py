@@ -98,11 +98,36 @@ def arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
 
 
 def extended(df: DataFrame, more: str) -> StructType:
-    """The schema of ``df`` and further columns; raises where one of these is there already (in any case)."""
+    """The schema of ``df`` and further columns; these replace columns of the same name (in any case)."""
     new = StructType.fromDDL(more)
-    if clash := {c.lower() for c in new.names} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns already there: {', '.join(sorted(clash))}")
-    return StructType([*df.schema.fields, *new.fields])
+    taken = {c.lower() for c in new.names}
+    return StructType([*[f for f in df.schema.fields if f.name.lower() not in taken], *new.fields])
+
+
+def keep_rows(df: DataFrame, column: str, test: Callable[[list], list[bool]]) -> DataFrame:
+    """Rows for whose ``column`` the test holds, batch by batch; other columns are passed on untouched."""
+    prepare(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(test(b.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def map_column(df: DataFrame, column: str, fn: Callable[[list], list]) -> DataFrame:
+    """``column`` replaced by ``fn`` of it, batch by batch; other columns are passed on untouched."""
+    prepare(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = b.schema.get_field_index(column)
+                new = pa.array(fn(b.column(at).to_pylist()), b.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

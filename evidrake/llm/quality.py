@@ -142,7 +142,7 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", meta
 
 
 def score(documents: DataFrame, machine: Machine, threshold: float = 0.3, metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
-    """documents with score and predicted; raises where such columns are there."""
+    """documents with score and predicted; columns of these names are replaced."""
     schema = extended(documents, "score double, predicted int")
     meta = list(metadata)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_codec, embedding_dedup, merkle, packing, shingle_join, token_files, warc
+from . import byte_codec, embedding_dedup, merkle, packing, pii, quality, shingle_join, token_files, toxicity, warc
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +15,10 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.query(spark, table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -23,6 +27,10 @@ def op3_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_codec.query(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -44,8 +56,12 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_byte_codec, op5_shingle_join, op6_packing, op8_embedding_dedup, op9_warc, op10_merkle)
-}
+    f.__name__: f
+    for f in (
+        op1_quality, op2_token_files, op3_byte_codec, op4_toxicity, op5_shingle_join,
+        op6_packing, op7_pii, op8_embedding_dedup, op9_warc, op10_merkle,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_warc": """

@@ -169,7 +169,7 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "toxic", sample
 
 
 def score(documents: DataFrame, model: Examples, threshold: float = 0.5) -> DataFrame:
-    """documents with score, predicted and evidence; raises where such columns are there."""
+    """documents with score, predicted and evidence; columns of these names are replaced."""
     schema = extended(documents, "score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, label: int>>")
 
     def run(c: dict) -> dict:
