@@ -131,8 +131,8 @@ def retrieval(k: int = L.TOP_K) -> str:
 def _coverage(name: str, besides: list[str] | None, evidence: str, more: str) -> str:
     """name(question_id, doc_id, more..., coverage, overlap): of the question's stems in the stems of ``evidence`` rows (es)."""
     return f"""
-    {name}_t AS (SELECT question_id, s AS stem, min(p) AS at FROM (SELECT question_id, unnest({stems("question", besides)}) AS s, generate_subscripts({stems("question", besides)}, 1) AS p FROM questions) GROUP BY question_id, s),
-    {name}_w AS (SELECT question_id, doc_id, stem, at, coalesce(weight, unseen, 1) AS w FROM asks JOIN {name}_t USING (question_id) LEFT JOIN known USING (doc_id, stem) LEFT JOIN unseen USING (doc_id)),
+    {name}_t AS (SELECT question_id, s AS stem, min(p) AS pos FROM (SELECT question_id, unnest({stems("question", besides)}) AS s, generate_subscripts({stems("question", besides)}, 1) AS p FROM questions) GROUP BY question_id, s),
+    {name}_w AS (SELECT question_id, doc_id, stem, pos, coalesce(weight, unseen, 1) AS w FROM asks JOIN {name}_t USING (question_id) LEFT JOIN known USING (doc_id, stem) LEFT JOIN unseen USING (doc_id)),
     {name} AS (SELECT e.question_id, e.doc_id, {more}, coalesce(sum(CASE WHEN list_contains(es, stem) THEN w ELSE 0 END) / nullif(sum(w), 0), 0) AS coverage, count(CASE WHEN list_contains(es, stem) THEN 1 END) AS overlap
                FROM {evidence} e LEFT JOIN {name}_w USING (question_id, doc_id) GROUP BY ALL)"""
 
@@ -144,7 +144,7 @@ def decision(threshold: float = L.COVERAGE) -> str:
     passages AS (SELECT question_id, doc_id, rank, {stems("text")} AS es FROM retrieved),
     {_coverage("covered", None, "passages", "rank")},
     best AS (SELECT question_id, doc_id, rank, coverage FROM (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY round(coverage, {P}) DESC, rank) AS r FROM covered) WHERE r = 1),
-    keys AS (SELECT question_id, doc_id, stem AS key_term FROM (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY round(w, {P}) DESC, at) AS r FROM covered_w) WHERE r = 1),
+    keys AS (SELECT question_id, doc_id, stem AS key_term FROM (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY round(w, {P}) DESC, pos) AS r FROM covered_w) WHERE r = 1),
     tops AS (SELECT question_id, doc_id, max(CASE WHEN rank = 1 THEN score END) AS top_score, coalesce(max(CASE WHEN rank = 2 THEN score END), 0) AS second FROM retrieved GROUP BY ALL),
     lines AS (SELECT question_id, doc_id, question, rank, {sentences("text")} AS ss FROM retrieved JOIN questions USING (question_id) WHERE {relevant}),
     each_line AS (SELECT question_id, doc_id, question, rank, ss, unnest(range(1, len(ss) + 1)) AS i FROM lines),
