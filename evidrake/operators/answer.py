@@ -15,20 +15,33 @@ def answer_span(question: Column, passage: Column, context: int = 0) -> Column:
 
     Needs the columns weights and unseen. More sentences win a tie, then fewer characters, then the earlier one.
     """
-    sentences = protected_sentences(passage)
-    wanted = F.filter(restem(content_stems(question)), lambda s: F.array_contains(restem(content_stems(passage)), s))
-
-    def window(i: Column, length: int) -> Column:
-        part = F.slice(sentences, i + 1, length)
-        inside = F.array_distinct(F.flatten(F.transform(part, lambda s: restem(content_stems(s)))))
-        weight = total_weight(F.filter(wanted, lambda s: F.array_contains(inside, s)))
-        whole = i + length <= F.size(sentences)
-        return F.when(whole, F.struct((-rounded(weight)).alias("order"), F.lit(-length).alias("more"), F.length(F.array_join(part, " ")).alias("chars"), i.alias("at"), F.lit(length).alias("length")))
-
-    best = F.array_min(F.filter(F.flatten(F.transform(sentences, lambda s, i: F.array(window(i, 1), window(i, 2)))), lambda w: w.isNotNull()))
-    first = F.greatest(best.at - context, F.lit(0))
-    span = F.array_join(F.slice(sentences, first + 1, best.at + best.length + context - first), " ")
-    return F.when((F.size(sentences) <= 1) | (F.size(wanted) == 0) | (best.order >= 0), trim(passage)).otherwise(span)
+    parts = F.transform(protected_sentences(passage), lambda s: F.struct(s.alias("text"), restem(content_stems(s)).alias("stems")))
+    asked = restem(content_stems(question))
+    # tokens never cross sentences, so the passage's stems are those of its sentences
+    packed = F.struct(parts.alias("parts"), asked.alias("asked"))
+
+    def choose(x: Column) -> Column:
+        inside = F.array_distinct(F.flatten(F.transform(x.parts, lambda p: p.stems)))
+        wanted = F.array_intersect(x.asked, inside)
+
+        def window(i: Column, length: int) -> Column:
+            some = F.slice(x.parts, i + 1, length)
+            hit = F.array_intersect(wanted, F.flatten(F.transform(some, lambda p: p.stems)))
+            chars = F.length(F.array_join(F.transform(some, lambda p: p.text), " "))
+            return F.struct((-rounded(total_weight(hit))).alias("order"), F.lit(-length).alias("more"), chars.alias("chars"), i.alias("at"), F.lit(length).alias("length"))
+
+        windows = F.flatten(F.transform(x.parts, lambda p, i: F.array(window(i, 1), window(i, 2))))
+        return F.array_min(F.filter(windows, lambda w: w.at + w.length <= F.size(x.parts)))
+
+    # one-element arrays bind a value, so that it is computed once
+    best = F.transform(F.array(packed), lambda x: F.struct(x.parts.alias("parts"), choose(x).alias("w")))
+
+    def span(b: Column) -> Column:
+        first = F.greatest(b.w.at - context, F.lit(0))
+        text = F.array_join(F.transform(F.slice(b.parts, first + 1, b.w.at + b.w.length + context - first), lambda p: p.text), " ")
+        return F.when((F.size(b.parts) > 1) & (b.w.order < 0), text)
+
+    return F.coalesce(F.get(F.transform(best, span), F.lit(0)), trim(passage))
 
 
 def answer(decided: DataFrame) -> DataFrame:

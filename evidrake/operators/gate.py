@@ -52,52 +52,52 @@ def gather(retrieved: DataFrame, questions: DataFrame, asks: DataFrame, posts: D
     )
 
 
-def _relevant() -> Column:
-    return F.filter("results", lambda r: rounded(r.score) >= L.RELEVANCE)
+def lines(wanted: Column) -> Column:
+    """Of each relevant result: its rank, and its sentences with their stems; empty unless ``wanted``."""
+    relevant = F.filter("results", lambda r: rounded(r.score) >= L.RELEVANCE)
+    split = lambda r: F.transform(evidence_sentences(r.text), lambda s: F.struct(s.alias("text"), F.array_distinct(content_stems(s)).alias("stems")))
+    return F.when(wanted, F.transform(relevant, lambda r: F.struct(r["rank"].alias("rank"), split(r).alias("parts"))))
 
 
 def negative_support() -> Column:
-    """The best sentence that denies a positive yes-or-no question, with the one after it; null if there is none."""
-    terms = F.filter(content_stems(F.col("question"), L.FRAMING_TERMS), lambda s: F.lit(True))
-    unique = F.array_distinct(terms)
+    """The best sentence that denies a positive yes-or-no question, with the one after it; null if there is none.
+
+    Needs the columns lines, denied_terms and denied_unique.
+    """
+    terms, unique = F.col("denied_terms"), F.col("denied_unique")
     least = F.when(F.size(terms) > 1, 2).otherwise(1)
 
     def judge(r: Column) -> Column:
-        sentences = evidence_sentences(r.text)
-
-        def one(s: Column, i: Column) -> Column:
-            stems = content_stems(s)
-            return F.struct(
-                (~starts_with_negation(s)).alias("indirect"), (-rounded(coverage(unique, stems))).alias("order"), r["rank"].alias("rank"), i.alias("at"),
-                coverage(unique, stems).alias("coverage"), F.array_join(F.slice(sentences, i + 1, 2), " ").alias("span"),
-                (has_negation(s) & (F.size(F.array_intersect(unique, stems)) >= least)).alias("ok"),
-            )
+        fits = F.transform(r.parts, lambda p, i: F.struct(i.alias("at"), F.when(has_negation(p.text) & (F.size(F.array_intersect(unique, p.stems)) >= least), coverage(unique, p.stems)).alias("coverage")))
+        good = F.filter(fits, lambda x: rounded(x.coverage) >= L.NEGATIVE_COVERAGE)
+        return F.transform(good, lambda x: F.struct(
+            (~starts_with_negation(F.get(r.parts, x.at).text)).alias("indirect"), (-rounded(x.coverage)).alias("order"), r["rank"].alias("rank"), x.at.alias("at"), x.coverage.alias("coverage"),
+            F.array_join(F.transform(F.slice(r.parts, x.at + 1, 2), lambda p: p.text), " ").alias("span")))
 
-        return F.filter(F.transform(sentences, one), lambda x: x.ok & (x.order <= -L.NEGATIVE_COVERAGE))
-
-    return F.when(is_positive_yes_no(F.col("question")) & (F.size(terms) > 0), F.array_min(F.flatten(F.transform(_relevant(), judge))))
+    return F.when(is_positive_yes_no(F.col("question")) & (F.size(terms) > 0), F.array_min(F.flatten(F.transform("lines", judge))))
 
 
 def instruction_support() -> Column:
-    """The best one or two sentences that a question about a text's instruction asks for; null if there are none."""
-    terms = F.array_distinct(content_stems(F.col("question"), L.META_TERMS))
+    """The best one or two sentences that a question about a text's instruction asks for; null if there are none.
 
-    def judge(r: Column) -> Column:
-        sentences = evidence_sentences(r.text)
+    Needs the columns lines and told_terms.
+    """
+    terms = F.col("told_terms")
 
+    def judge(r: Column) -> Column:
         def one(i: Column, length: int) -> Column:
-            span = F.array_join(F.slice(sentences, i + 1, length), " ")
-            stems = content_stems(span)
-            enough = (F.size(terms) == 0) | ((F.size(F.array_intersect(terms, stems)) >= 1) & (rounded(coverage(terms, stems)) >= L.INSTRUCTION_COVERAGE))
+            parts = F.slice(r.parts, i + 1, length)
             return F.struct(
-                (-rounded(coverage(terms, stems))).alias("order"), F.length(span).alias("chars"), r["rank"].alias("rank"), i.alias("at"), F.lit(length).alias("length"),
-                coverage(terms, stems).alias("coverage"), span.alias("span"), (is_instruction_evidence(span) & enough & (i + length <= F.size(sentences))).alias("ok"),
-            )
+                i.alias("at"), F.lit(length).alias("length"), F.array_join(F.transform(parts, lambda p: p.text), " ").alias("span"),
+                F.array_distinct(F.flatten(F.transform(parts, lambda p: p.stems))).alias("stems"))
 
-        spans = F.flatten(F.transform(sentences, lambda s, i: F.array(one(i, 1), one(i, 2))))
-        return F.filter(spans, lambda x: x.ok)
+        spans = F.filter(F.flatten(F.transform(r.parts, lambda p, i: F.array(one(i, 1), one(i, 2)))), lambda x: (x.at + x.length <= F.size(r.parts)) & is_instruction_evidence(x.span))
+        weighed = F.transform(spans, lambda x: F.struct(x.alias("x"), coverage(terms, x.stems).alias("coverage")))
+        good = F.filter(weighed, lambda w: (F.size(terms) == 0) | (rounded(w.coverage) >= L.INSTRUCTION_COVERAGE))
+        return F.transform(good, lambda w: F.struct(
+            (-rounded(w.coverage)).alias("order"), F.length(w.x.span).alias("chars"), r["rank"].alias("rank"), w.x.at.alias("at"), w.x.length.alias("length"), w.coverage.alias("coverage"), w.x.span.alias("span")))
 
-    return F.when(asks_about_instruction(F.col("question")), F.array_min(F.flatten(F.transform(_relevant(), judge))))
+    return F.when(asks_about_instruction(F.col("question")), F.array_min(F.flatten(F.transform("lines", judge))))
 
 
 def assess(pairs: DataFrame) -> DataFrame:
@@ -111,7 +111,13 @@ def assess(pairs: DataFrame) -> DataFrame:
     out = judged.withColumn("top_score", F.coalesce(top, F.lit(0.0))).withColumn("score_margin", F.coalesce(top, F.lit(0.0)) - F.coalesce(second, F.lit(0.0)))
     out = out.withColumn("relevant", (F.size("results") > 0) & (rounded(F.col("top_score")) >= L.RELEVANCE))
     out = out.withColumn("key_term", key.stem).withColumn("key_present", (F.size("terms") == 0) | F.array_contains(F.get("passages", F.col("best.rank") - 1), F.col("key_term")))
-    return out.withColumn("negative", F.when(F.col("relevant"), negative_support())).withColumn("instruction", F.when(F.col("relevant") & F.col("negative").isNull(), instruction_support()))
+    question = F.col("question")
+    special = is_positive_yes_no(question) | asks_about_instruction(question)
+    out = out.withColumn("denied_terms", content_stems(question, L.FRAMING_TERMS)).withColumn("denied_unique", F.array_distinct("denied_terms"))
+    out = out.withColumn("told_terms", F.array_distinct(content_stems(question, L.META_TERMS))).withColumn("lines", lines(F.col("relevant") & special))
+    out = out.withColumn("negative", F.when(F.col("relevant"), negative_support()))
+    out = out.withColumn("instruction", F.when(F.col("relevant") & F.col("negative").isNull(), instruction_support()))
+    return out.drop("denied_terms", "denied_unique", "told_terms", "lines")
 
 
 def decide(assessed: DataFrame, threshold: Column | float = L.COVERAGE) -> DataFrame:
