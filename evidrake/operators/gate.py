@@ -6,14 +6,14 @@ stems as a map; the rules are expressions over that row, so nothing is shuffled
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import (
     asks_about_instruction, content_stems, evidence_sentences, has_negation, is_instruction_evidence, is_positive_yes_no, restem, starts_with_negation,
 )
-from .index import postings, stem_weights, unseen_weight
+from .index import postings, stem_weights
 from .retrieval import retrieve
 
 
@@ -38,13 +38,14 @@ def rounded(x: Column) -> Column:
 def gather(retrieved: DataFrame, questions: DataFrame, asks: DataFrame, posts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(question_id, keys, question, results, weights, unseen); pairs without chunks have an empty array."""
     results = retrieved.groupBy("question_id", *keys).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_index", "score", "text"))).alias("results"))
-    known = stem_weights(posts, keys)
+    # the largest weight of the scope matters only beside a known stem: without one every share is 0
+    known = stem_weights(posts, keys).withColumn("top", F.max("weight").over(Window.partitionBy(*keys)))
     stems = content_stems(F.col("question"))
     asked = questions.select("question_id", F.explode(F.array_distinct(F.concat(stems, restem(stems)))).alias("stem"))
     found = asks.select("question_id", *keys).distinct().join(asked, "question_id").join(known, [*keys, "stem"])
-    found = found.groupBy("question_id", *keys).agg(F.map_from_entries(F.collect_list(F.struct("stem", "weight"))).alias("weights"))
+    found = found.groupBy("question_id", *keys).agg(F.map_from_entries(F.collect_list(F.struct("stem", "weight"))).alias("weights"), F.greatest(F.lit(1.0), F.first("top")).alias("unseen"))
     rows = asks.select("question_id", *keys).distinct().join(questions.select("question_id", "question"), "question_id")
-    rows = rows.join(results, ["question_id", *keys], "left").join(found, ["question_id", *keys], "left").join(unseen_weight(known, keys), list(keys), "left")
+    rows = rows.join(results, ["question_id", *keys], "left").join(found, ["question_id", *keys], "left")
     empty = F.array().cast("array<struct<rank:int,chunk_index:int,score:double,text:string>>")
     return rows.select(
         "question_id", *keys, "question", F.coalesce("results", empty).alias("results"),

@@ -12,14 +12,18 @@ from ..functions.text import stem, tokens
 
 
 def postings(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, chunk_index, term, tf, n_tokens, n_chunks, df, idf, weight); chunks without tokens have no rows but count."""
+    """(keys, chunk_index, term, tf, n_tokens, n_chunks, df, idf, weight, norm); chunks without tokens have no rows but count.
+
+    norm: of the chunk's weights.
+    """
     scope = Window.partitionBy(*keys)
     split = chunks.repartition(*keys).select(*keys, "chunk_index", tokens(F.col("text")).alias("ts"))
     split = split.withColumn("n_tokens", F.size("ts")).withColumn("n_chunks", F.count("*").over(scope))
     tf = split.select(*keys, "chunk_index", "n_tokens", "n_chunks", F.explode("ts").alias("term")).groupBy(*keys, "chunk_index", "term", "n_tokens", "n_chunks").agg(F.count("*").alias("tf"))
     counted = tf.withColumn("df", F.count("*").over(Window.partitionBy(*keys, "term")))
     counted = counted.withColumn("idf", F.ln((F.col("n_chunks") + 1) / (F.col("df") + 1)) + 1)
-    return counted.withColumn("weight", F.col("tf") / F.col("n_tokens") * F.col("idf"))
+    weighted = counted.withColumn("weight", F.col("tf") / F.col("n_tokens") * F.col("idf"))
+    return weighted.withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keys, "chunk_index"))))
 
 
 def terms(posts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -28,7 +32,7 @@ def terms(posts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def norms(posts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    return posts.groupBy(*keys, "chunk_index").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return posts.groupBy(*keys, "chunk_index").agg(F.first("norm").alias("norm"))
 
 
 def stem_weights(posts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import tokens
-from .index import norms, postings, terms
+from .index import postings
 
 
 def whole_k(k: float) -> int:
@@ -31,12 +31,12 @@ def retrieve(chunks: DataFrame, questions: DataFrame, asks: DataFrame, k: float
     posts = postings(chunks, keys) if posts is None else posts
     q = question_terms(questions)
     asked = asks.select("question_id", *keys).distinct()
-    wanted = asked.join(q, "question_id").join(terms(posts, keys), [*keys, "term"]).withColumn("wq", F.col("share") * F.col("idf"))
-    length = wanted.groupBy("question_id", *keys).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
-    dots = wanted.select("question_id", *keys, "term", "wq").join(posts.select(*keys, "term", "chunk_index", "weight"), [*keys, "term"])
-    dots = dots.groupBy("question_id", *keys, "chunk_index").agg(F.sum(F.col("wq") * F.col("weight")).alias("dot"))
-    scored = dots.join(length, ["question_id", *keys]).join(norms(posts, keys), [*keys, "chunk_index"])
-    scored = scored.select("question_id", *keys, "chunk_index", F.coalesce(F.try_divide("dot", F.col("q_norm") * F.col("norm")), F.lit(0.0)).alias("score"))
+    met = asked.join(q, "question_id").join(posts.select(*keys, "term", "chunk_index", "idf", "df", "weight", "norm"), [*keys, "term"])
+    met = met.withColumn("wq", F.col("share") * F.col("idf"))
+    # a term of the question has one row for each of the df chunks that hold it
+    length = F.sqrt(F.sum(F.col("wq") * F.col("wq") / F.col("df")).over(Window.partitionBy("question_id", *keys)))
+    dots = met.withColumn("q_norm", length).groupBy("question_id", *keys, "chunk_index").agg(F.sum(F.col("wq") * F.col("weight")).alias("dot"), F.first("q_norm").alias("q_norm"), F.first("norm").alias("norm"))
+    scored = dots.select("question_id", *keys, "chunk_index", F.coalesce(F.try_divide("dot", F.col("q_norm") * F.col("norm")), F.lit(0.0)).alias("score"))
     every = asked.join(chunks.select(*keys, "chunk_index", "text"), list(keys))
     full = every.join(scored, ["question_id", *keys, "chunk_index"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     order = Window.partitionBy("question_id", *keys).orderBy(F.round("score", L.PLACES).desc(), "chunk_index")
