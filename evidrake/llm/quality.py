@@ -133,12 +133,12 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", meta
     def run(c: dict) -> dict:
         features = Features()
         got = [features(t, _meta(c, meta, k)) for k, t in enumerate(c["text"])]
-        return {"doc_id": c["doc_id"], "target": c["target"], "idx": [i.tolist() for i, _, _ in got], "val": [v.tolist() for _, v, _ in got], "stats": [s.tolist() for _, _, s in got]}
+        return {"doc_id": c["doc_id"], "target": c["target"], "idx": [i.astype("<i4").tobytes() for i, _, _ in got], "val": [v.astype("<f4").tobytes() for _, v, _ in got], "stats": [s.tolist() for _, _, s in got]}
 
     drawn = draw(documents, labels, target, ["text", *meta], sample)
-    rows = map_rows(drawn, run, "doc_id long, target int, idx array<int>, val array<float>, stats array<double>").toArrow().to_pylist()
+    rows = map_rows(drawn, run, "doc_id long, target int, idx binary, val binary, stats array<double>").toArrow().to_pylist()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["stats"]))
-    return fit([(np.array(r["idx"], np.int64), np.array(r["val"]), np.array(r["stats"])) for r in rows], np.array([r["target"] for r in rows], float))
+    return fit([(np.frombuffer(r["idx"], "<i4").astype(np.int64), np.frombuffer(r["val"], "<f4").astype(float), np.array(r["stats"])) for r in rows], np.array([r["target"] for r in rows], float))
 
 
 def score(documents: DataFrame, machine: Machine, threshold: float = 0.3, metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
