@@ -44,29 +44,40 @@ class ChunkEncoder:
             _encoders[path, white_space_dropped] = cls(path, white_space_dropped)
         return _encoders[path, white_space_dropped]
 
-    def _chunks(self, text: str) -> list[str]:
+    def _keys(self, text: str) -> list[str | tuple[str]]:
+        """Chunks as keys: a word stands for itself after a space (a break has none); a tuple for just its text."""
         if self.dropped:
             return text.replace("\n", " ").split(" ")
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:  # runs: cut only after a non-space
-            return CUT.split(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[x if x[:1] == "\n" else " " + x for x in rest]]
+            return self._split(text)
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = (keys[0],)
+        return keys
+
+    @staticmethod
+    def _split(text: str) -> list[tuple[str]]:
+        return [(x,) for x in CUT.split(text)]
+
+    def _text(self, key: str | tuple[str]) -> str:
+        if isinstance(key, tuple):
+            return key[0]
+        return key if self.dropped or key[:1] == "\n" else " " + key
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        late: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
-        new: dict[str, bytes | None] = {}
+        late: list[tuple[int, list, list[bytes | None], list[int]]] = []
+        new: dict = {}
         for i, text in enumerate(texts):
-            chunks = self._chunks(text or "")
-            got = list(map(self.young.get, chunks))
+            keys = self._keys(text or "")
+            got = list(map(self.young.get, keys))
             if None in got:
                 holes = [j for j, x in enumerate(got) if x is None]
-                if not self.dropped and any(chunks[j][-1:].isspace() for j in holes):  # no cut may follow those; never remembered
-                    chunks = CUT.split(text)
-                    got = list(map(self.young.get, chunks))
+                if not self.dropped and any(self._text(keys[j])[-1:].isspace() for j in holes):  # no cut may follow those; never remembered
+                    keys = self._split(text)
+                    got = list(map(self.young.get, keys))
                     holes = [j for j, x in enumerate(got) if x is None]
-                new.update((chunks[j], None) for j in holes)
-                late.append((i, chunks, got, holes))
+                new.update((keys[j], None) for j in holes)
+                late.append((i, keys, got, holes))
                 out.append(b"")
             else:
                 out.append(b"".join(got))
@@ -77,13 +88,15 @@ class ChunkEncoder:
                     unknown.append(c)
                 new[c] = x
             run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for c, e in zip(unknown, run(unknown, add_special_tokens=False), strict=True):
+            for c, e in zip(unknown, run(list(map(self._text, unknown)), add_special_tokens=False), strict=True):
                 new[c] = array("I", e.ids).tobytes()
-            for i, chunks, got, holes in late:
+            for i, keys, got, holes in late:
                 for j in holes:
-                    got[j] = new[chunks[j]]
+                    got[j] = new[keys[j]]
                 out[i] = b"".join(got)
             if len(self.young) + len(new) > self.limit:
                 self.old, self.young = self.young, {}
-            self.young.update((c, x) for c, x in new.items() if len(c) <= self.LONG and not c[-1:].isspace())
+            for c, x in new.items():
+                if len(t := self._text(c)) <= self.LONG and not t[-1:].isspace():
+                    self.young[c] = x
         return out
