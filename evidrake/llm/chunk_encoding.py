@@ -16,6 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each
 
 from tokenizers import Tokenizer  # noqa: E402
 
+#: Remembered chunks of a generation: packing follows other stages in the same workers, so it takes fewer.
+FILES_MEMO, PACKING_MEMO = 500_000, 350_000
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -41,7 +43,7 @@ class ChunkEncoder:
     def of(cls, path: str, white_space_dropped: bool = False) -> ChunkEncoder:
         """One for each worker process, so that its memo serves all tasks there."""
         if (path, white_space_dropped) not in _encoders:
-            _encoders[path, white_space_dropped] = cls(path, white_space_dropped)
+            _encoders[path, white_space_dropped] = cls(path, white_space_dropped, PACKING_MEMO if white_space_dropped else FILES_MEMO)
         return _encoders[path, white_space_dropped]
 
     def _keys(self, text: str) -> list[str | tuple[str]]:
