@@ -90,6 +90,24 @@ def test_against_sql(spark, name):
     assert got == want
 
 
+def test_every_benchmark_item_of_every_document(spark):
+    folder = "/root/testdata/sf0.001"
+    got = catalog.retrieve_benchmark(spark, folder).cache()
+    made = catalog.chunks(spark, folder).cache()
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").selectExpr("cast(item_id as string) as question_id", "text as question")
+    asks = made.select("doc_id").distinct().crossJoin(items.select("question_id"))
+    assert got.select("question_id", "doc_id").distinct().count() == asks.count()
+    want = retrieve(made, items, asks, 5).select("question_id", "doc_id", "rank", "chunk_index", F.round("score", 6).alias("score"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    part = sorted(tuple(r) for r in got.where("doc_id % 40 = cast(question_id as bigint) % 40").select("question_id", "doc_id", "rank", "chunk_index", "score").collect())
+    sql = sorted(c.execute(f"select question_id, doc_id, rank, chunk_index, score from ({catalog.ORACLE_SQL['retrieve_benchmark']})").fetchall())
+    assert len(part) == len(sql) and all(a[:4] == b[:4] and abs(a[4] - b[4]) < 2e-6 for a, b in zip(part, sql, strict=True))
+
+
 def test_stream(spark, tmp_path):
     from evidrake.streaming.asks import answer_stream
 
