@@ -104,13 +104,11 @@ _NUMBER = set("0123456789 ().-+")
 def segments(text: str, tokens: list[tuple[int, int]], longest: int = 24) -> list[Segment]:
     """Candidates: beginnings of runs of digits and separators with 7 digits or more, and names around an at sign."""
     words = [text[a:b] for a, b in tokens]
-    out, starts = [], 0
+    out = []
     for i, w in enumerate(words):
         if w.isdigit() or w in "+(":
-            if i and set(words[i - 1]) <= _NUMBER and (words[i - 1] != " " or i >= 2 and set(words[i - 2]) <= _NUMBER and (starts := starts + 1) > 12):
-                continue  # where a run of such tokens starts, and after its first spaces
-            if not i or not set(words[i - 1]) <= _NUMBER or i < 2 or not set(words[i - 2]) <= _NUMBER:
-                starts = 0
+            if i and words[i - 1] != " " and set(words[i - 1]) <= _NUMBER:
+                continue  # only where a run of such tokens starts, and after its spaces
             digits = 0
             for j in range(i, min(len(words), i + longest)):
                 if not set(words[j]) <= _NUMBER:

@@ -109,6 +109,28 @@ def test_added_spans_and_redaction(spark):
     assert pii.query(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.fixture(scope="module")
+def spelled():
+    """The field as trained on made-up windows only."""
+    model = pii.Field()
+    model.fit([x for x in (pii.example(t, s) for t, s in pii.made_up(400)) if x[1]])
+    return model
+
+
+def test_long_lists_of_numbers(spelled):
+    rng = np.random.default_rng(5)
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+
+    def card():
+        body = digits(15)
+        x = next(body + str(k) for k in range(10) if pii.luhn(body + str(k)))
+        return " ".join(x[i : i + 4] for i in range(0, 16, 4))
+
+    for kind, items in (("card", [card() for _ in range(20)]), ("phone", [f"({digits(3)}) {digits(3)}-{digits(4)}" for _ in range(20)])):
+        at = np.cumsum([0, *[len(x) + 1 for x in items[:-1]]]).tolist()
+        assert pii.find(" ".join(items), spelled)[1] == [(kind, a, a + len(x)) for a, x in zip(at, items, strict=True)]
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against a plain version on its own input."""
     from evidrake.llm.shingle_join import near_duplicates
