@@ -77,16 +77,30 @@ def base_spans(text: str) -> list[Span]:
 
 
 def windows(text: str, reach: int = 48) -> Iterator[tuple[int, int]]:
-    """Parts of the text around digits, at signs and "dot", grown to white space."""
-    start = end = -1
+    """Parts of the text around digits, at signs and "dot", grown by words (two more before: a name and "at"); parts that touch are one."""
+    near: list[tuple[int, int]] = []
     for m in _HINT.finditer(text):
-        if m.start() > end:
+        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
+        if near and a <= near[-1][1]:
+            near[-1] = (near[-1][0], b)
+        else:
+            near.append((a, b))
+    start = end = -1
+    for a, b in near:
+        for _ in range(3):
+            least = max(0, a - 1 - 4 * reach)
+            a = max(0, a - 1)
+            while a > least and not text[a - 1].isspace():
+                a -= 1
+        most = min(len(text), b + 4 * reach)
+        while b < most and not text[b].isspace():
+            b += 1
+        if a <= end:
+            end = b
+        else:
             if end >= 0:
                 yield start, end
-            start = max(end, m.start() - reach, 0)
-            while start > max(end, 0) and not text[start - 1].isspace() and m.start() - start < 4 * reach:
-                start -= 1
-        end = min(len(text), max(end, m.end() + reach))
+            start, end = a, b
     if end >= 0:
         yield start, end
 

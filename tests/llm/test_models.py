@@ -131,6 +131,20 @@ def test_long_lists_of_numbers(spelled):
         assert pii.find(" ".join(items), spelled)[1] == [(kind, a, a + len(x)) for a, x in zip(at, items, strict=True)]
 
 
+def test_hints_before_an_address(spelled):
+    """A digit at any distance before an address changes neither its bounds nor that it is found."""
+    for far in range(2, 240):
+        left = f"7 {'we saw it all here ' * 20}"[:far] + " . "
+        assert ("email", len(left), len(left) + 20) in pii.find(f"{left}jane at corp dot org", spelled)[1], far
+    domain = "c" * 60
+    assert pii.find(f"jane at {domain} dot org", spelled)[1] == [("email", 0, 16 + len(domain))]
+    rng = np.random.default_rng(6)
+    for _ in range(2000):
+        text = "".join(rng.choice(list("ab 1."), int(rng.integers(0, 400)), p=[0.5, 0.34, 0.1, 0.01, 0.05]))
+        parts = list(pii.windows(text, 8))
+        assert all(x[1] < y[0] for x, y in zip(parts, parts[1:])) and all(any(a <= i < b for a, b in parts) for i, c in enumerate(text) if c == "1")
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against a plain version on its own input."""
     from evidrake.llm.shingle_join import near_duplicates
