@@ -37,9 +37,10 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HINT = re.compile(r"[0-9@]|\bdot\b")
+_HINT = re.compile(r"[0-9@]|\b[Dd][Oo][Tt]\b")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
-_LEAST = re.compile(r"[0-9](?:[ ().+-]{0,3}[0-9]){6,24}|@|\bdot\b")
+# what a candidate has at least: 7 digits, or three dots in a run of numbers (of 24 tokens and 19 digits at most), or a sign of an address
+_LEAST = re.compile(r"[0-9](?:[ ().+-]{0,22}+[0-9]){6}|[0-9+(](?:[ ()+0-9-]{0,42}+\.){3}[ ().+-]{0,22}+[0-9]|@|\b[Dd][Oo][Tt]\b")
 
 
 def luhn(digits: str) -> bool:
@@ -148,7 +149,7 @@ def segments(text: str, tokens: list[tuple[int, int]], longest: int = 24) -> lis
                     out.append((left, right))
                 if right + 1 < len(words) and words[right] in ".-":
                     right += 1
-                elif words[right : right + 3] in ([" ", "dot", " "], [" ", "DOT", " "]):
+                elif [x.lower() for x in words[right : right + 3]] == [" ", "dot", " "]:
                     right += 3
                 else:
                     break

@@ -145,6 +145,18 @@ def test_hints_before_an_address(spelled):
         assert all(x[1] < y[0] for x, y in zip(parts, parts[1:])) and all(any(a <= i < b for a, b in parts) for i, c in enumerate(text) if c == "1")
 
 
+def test_gates_admit_every_candidate(spelled):
+    for text, want in [
+        ("host 10 . 0 . 0 . 1 up", [("ip", 5, 19)]), ("ask 8 . 8 . 8 . 8 now", [("ip", 4, 17)]), ("JANE AT CORP DOT ORG", [("email", 0, 20)]), ("Jane At Corp Dot Org", [("email", 0, 20)]), ("DOT matrix", []),
+    ]:
+        assert pii.find(text, spelled)[1] == want
+    rng = np.random.default_rng(7)
+    for _ in range(20_000):
+        text = "".join(rng.choice(list("12 .+-(a"), int(rng.integers(5, 30))))
+        if pii.segments(text, [(m.start(), m.end()) for m in pii._TOKEN.finditer(text)]):
+            assert pii._LEAST.search(text)
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against a plain version on its own input."""
     from evidrake.llm.shingle_join import near_duplicates
