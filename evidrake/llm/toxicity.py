@@ -156,16 +156,14 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "toxic", sample
     chi2 = (a * n - d * y) ** 2 * n / (d * y * (n - y) * F.greatest(n - d, F.lit(1.0)))
     chosen = df.withColumn("chi2", chi2).where((F.col("chi2") >= CHI2) & ((a + 0.5) / (d + 1) >= SHARE)).orderBy(F.desc("chi2"), "term").limit(TERMS)
     vocabulary = {r.term: float(np.log((1 + n) / (1 + r.df)) + 1) for r in chosen.collect()}
-    pairs = F.map_from_arrays("terms", "counts")
-    kept = F.map_filter(pairs, lambda t, _: F.array_contains(F.lit(sorted(vocabulary)).cast("array<string>"), t)) if len(vocabulary) <= 64 else None
-    if kept is None:
-        names = drawn.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")
-        long = drawn.select("doc_id", "copies", F.explode(pairs).alias("term", "n")).join(F.broadcast(names), "term")
-        kept_rows = long.groupBy("doc_id", "copies").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("m"))
-        rows = drawn.select("doc_id", "target", "copies").join(kept_rows, ["doc_id", "copies"], "left").collect()
-    else:
-        rows = drawn.select("doc_id", "target", kept.alias("m")).collect()
-    return Examples(vocabulary, [(r.doc_id, r.m or {}, r.target) for r in rows])
+
+    def chosen_only(c: dict) -> dict:
+        rows = [[(t, n) for t, n in zip(*row, strict=True) if t in vocabulary] for row in zip(c["terms"], c["counts"], strict=True)]
+        return {"doc_id": c["doc_id"], "target": c["target"], "terms": [[t for t, _ in r] for r in rows], "counts": [[n for _, n in r] for r in rows]}
+
+    # row by row, so repeated rows stay as they are; the vocabulary has at most TERMS words
+    rows = map_rows(drawn.select("doc_id", "target", "terms", "counts"), chosen_only, "doc_id long, target int, terms array<string>, counts array<int>").collect()
+    return Examples(vocabulary, [(r.doc_id, dict(zip(r.terms, r.counts, strict=True)), r.target) for r in rows])
 
 
 def score(documents: DataFrame, model: Examples, threshold: float = 0.5) -> DataFrame:

@@ -38,6 +38,18 @@ def test_odd_rows(spark, module):
     assert "Score" not in module.score(docs, model).columns and module.score(docs, model).count() == 6
 
 
+def test_repeated_labelled_rows_and_many_terms(spark):
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(100)]
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.permutation(words if i % 2 else [f"{w}q" for w in words]))) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    twice = spark.createDataFrame([*rows, *rows[:60]], "doc_id long, text string")
+    model = toxicity.train(twice, labels)
+    drawn = [i for i, _ in [*rows, *rows[:60]] if zlib.crc32(str(i).encode()) % 5]
+    assert len(model.place) > 64 and sorted(model.ids) == sorted(i for i in drawn if i % 2)
+    assert toxicity.query(twice, labels).count() == 180
+
+
 def test_interactions_in_linear_time():
     rng = np.random.default_rng(0)
     m = quality.Machine(np.zeros((quality.STATISTICS, quality.BINS - 1)), 0.3, rng.normal(size=quality.WIDTH), rng.normal(size=(quality.WIDTH, 4)))
