@@ -132,27 +132,27 @@ def jaccard_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray |
     return np.stack([left[i[ok]], right[j[ok]]], 1)
 
 
-_SETS = "group long, b1 int, b2 int, side int, rep long, copies long, shingles binary"
-_FOUND = "rep long, root long, n long"
+_SETS = "group long, b1 int, b2 int, side int, node long, copies long, shingles binary"
+_FOUND = "node long, root long, n long"
 
 
 def _verify(candidates: DataFrame, texts: DataFrame, width: int, threshold: float, block: int) -> DataFrame:
-    """(rep, root, n) from candidates (rep, group, copies, blocks): partial sums and a link within the group."""
+    """(node, root, n) from candidates (node, rep, key, group, copies, blocks): partial sums and a link within the group."""
     spark = candidates.sparkSession
     small = candidates.count() <= BROADCAST_ROWS
-    chosen = texts.join(F.broadcast(candidates) if small else candidates, texts.doc_id == candidates.rep).select("rep", "text", "group", "copies", "blocks", "key")
+    chosen = texts.join(F.broadcast(candidates) if small else candidates, texts.doc_id == candidates.rep).select("node", "text", "group", "copies", "blocks", "key")
     schema, found_schema = arrow_schema(spark, _SETS), arrow_schema(spark, _FOUND)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for b in batches:
             rows = []
-            for rep, text, group, copies, blocks, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for node, text, group, copies, blocks, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = shingler(text)
                 if not len(s) or xxhash.xxh3_128_digest(s.tobytes()) != key:  # another row with this id
                     continue
-                at = zlib.crc32(b"%d" % rep) % blocks
-                rows += [(group, min(at, x), max(at, x), int(at > x), rep, copies, s.tobytes()) for x in range(blocks)]
+                at = zlib.crc32(b"%d" % node) % blocks
+                rows += [(group, min(at, x), max(at, x), int(at > x), node, copies, s.tobytes()) for x in range(blocks)]
             for at in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*rows[at : at + 256], strict=True), schema, strict=True)], schema=schema)
 
@@ -160,8 +160,8 @@ def _verify(candidates: DataFrame, texts: DataFrame, width: int, threshold: floa
         for run in runs(batches, ["group", "b1", "b2"]):
             if len(run) < 2:
                 continue
-            ids, copies, side = (run.column(k).to_numpy() for k in ("rep", "copies", "side"))
-            _, first = np.unique(ids, return_index=True)  # repeated rows of one id
+            ids, copies, side = (run.column(k).to_numpy() for k in ("node", "copies", "side"))
+            _, first = np.unique(ids, return_index=True)  # repeated rows of one id and set
             sets = [np.frombuffer(x, np.uint64) for x in run.column("shingles").to_pylist()]
             apart = run.column("b1")[0].as_py() != run.column("b2")[0].as_py()
             left = first[side[first] == 0] if apart else first
@@ -199,20 +199,22 @@ def near_duplicates(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = materialize(_buckets(texts, width, trees, depth, prefix, seed), "buckets")
     members = keyed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialize(members.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    own = members.join(classes.select("key", "rep"), "key").where("doc_id = rep").select("rep", F.posexplode("buckets").alias("tree", "bucket"))
-    least = own.groupBy("tree", "bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("tree", "bucket", "head")
-    near = own.join(least, ["tree", "bucket"]).where("rep <> head").select("rep", "head").distinct()
-    groups = connected_components(near, "rep", "head").withColumnRenamed("component", "group")
+    # a class is known by its set, as ids can have several texts; the smallest id is for the output
+    classes = materialize(members.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("key")), "classes")
+    own = members.join(classes.select("key", "rep", "node"), "key").where("doc_id = rep").select("node", F.posexplode("buckets").alias("tree", "bucket"))
+    least = own.groupBy("tree", "bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("tree", "bucket", "head")
+    near = own.join(least, ["tree", "bucket"]).where("node <> head").select("node", "head").distinct()
+    groups = connected_components(near, "node", "head").withColumnRenamed("component", "group")
     sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
     candidates = materialize(
-        classes.join(groups, classes.rep == groups.node).join(sizes, "group")
-        .select("rep", "key", "group", "copies", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "candidates")
+        classes.join(groups, "node").join(sizes, "group")
+        .select("node", "rep", "key", "group", "copies", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "candidates")
     found = _verify(candidates, texts, width, threshold, block)
-    united = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
-    sums = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    summary = classes.join(sums, "rep", "left").join(united, "rep", "left").select(
-        "key", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    united = connected_components(found, "node", "root")
+    tops = classes.join(united, "node").groupBy("component").agg(F.min("rep").alias("top"))
+    sums = found.groupBy("node").agg(F.sum("n").alias("n"))
+    summary = classes.join(sums, "node", "left").join(united, "node", "left").join(tops, "component", "left").select(
+        "key", F.coalesce("top", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = keyed.select("doc_id", "key").join(summary, "key", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))

@@ -66,6 +66,20 @@ def test_shingle_join_edges(spark):
     assert shingle_join.matched_prefix(0.8, 20, 6, 0.9995) == 5 and shingle_join.matched_prefix(0.8, 1, 6, 0.9999) == 1
 
 
+def test_one_id_with_two_texts(spark):
+    rng = np.random.default_rng(8)
+    long = lambda: [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+    a, b = long(), long()
+    near = lambda t, k: " ".join([*t[:-k], *(f"z{i}" for i in range(k))])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (9, near(a, 1)), (8, near(b, 1)), (3, near(b, 2)), (7, " ".join(b))]
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(6) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    count, group = Counter(x for l in links for x in l), groups(range(6), links)
+    least = {g: min(rows[i][0] for i in range(6) if group[i] == g) for g in group.values()}
+    want = sorted((rows[i][0], least[group[i]], count[i], rows[i][0] == least[group[i]]) for i in range(6))
+    assert sorted(map(tuple, shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 16))
