@@ -1,11 +1,12 @@
-"""Similarity self-join of documents: Jaccard of word shingles at a threshold, by a MinHash LSH forest.
+"""Similarity self-join of documents: Jaccard of word shingles at a threshold, by MinHash banding.
 
 Each document's shingle set (``width`` words, lower case, parted at white space; a shorter text is one shingle) gets
-``trees`` labels of ``depth`` minimum hashes. A tree of the forest is the sorted labels; documents that share a prefix
-are candidates. Starting from whole labels, the matched prefix is shortened until a pair at the threshold is found
-with the target recall (:func:`matched_prefix`). Candidates are verified exactly on their shingle sets.
+``trees`` labels of ``depth`` minimum hashes. Documents that share a label's first hashes are candidates; how many is
+fixed for a run: the most that find a pair at the threshold with the target recall (:func:`matched_prefix`). This
+banding by a fixed prefix stands in for an LSH forest: labels are not sorted, and no longer or shorter prefix is tried.
+Candidates are verified exactly on their shingle sets.
 
-Documents with equal sets form a class, whose members all link; only classes take part in the forest, so copies are
+Documents with equal sets form a class, whose members all link; only classes take part in the banding, so copies are
 never paired. Candidates are gathered into connected groups by one link for each document and bucket; each group is
 compared in pairs of blocks, all of them, without a cap; sums and a spanning link for each class come out, not pairs.
 
