@@ -350,9 +350,19 @@ def eval_coverage_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.coverage_sweep(E.assessed_cases(*_cases(spark)))
 
 
+def _long_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The cases over the notes, and one for each benchmark item that a document holds verbatim: its first sentence is the evidence."""
+    cases, notes = _cases(spark)
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    held = documents(spark, sf_dir).join(F.broadcast(items), F.col("text").contains(F.col("question")))
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    more = held.select(F.concat(F.lit("b"), F.col("item_id").cast("string"), name).alias("id"), name.alias("document"), "question", F.lit(True).alias("answerable"), F.get(T.evidence_sentences(F.col("question")), F.lit(0)).alias("expected_evidence"))
+    return cases.unionByName(more), notes.unionByName(held.select(name.alias("document"), "text").distinct())
+
+
 @query()
 def chunk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.chunking_sweep(*_cases(spark), targets=(400, 600), overlaps=(0, 75))
+    return E.chunking_sweep(*_long_cases(spark, sf_dir))
 
 
 @query("SELECT 'overall_accuracy' AS metric WHERE false")

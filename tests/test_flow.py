@@ -108,6 +108,14 @@ def test_every_benchmark_item_of_every_document(spark):
     assert len(part) == len(sql) and all(a[:4] == b[:4] and abs(a[4] - b[4]) < 2e-6 for a, b in zip(part, sql, strict=True))
 
 
+def test_chunk_sweep_runs_the_whole_grid(spark):
+    folder = "/root/testdata/sf0.001"
+    cases, texts = catalog._long_cases(spark, folder)
+    assert cases.count() > len(catalog.CASES) and chunk_documents(texts.select(F.col("document").alias("doc_id"), "text")).where("chunk_index > 0").count() > 0
+    got = catalog.chunk_sweep(spark, folder).collect()
+    assert {(r.target_chars, r.overlap_chars) for r in got} == {(t, o) for t in L.CHUNK_GRID_TARGETS for o in L.CHUNK_GRID_OVERLAPS} and len(got) == 20
+
+
 def test_stream(spark, tmp_path):
     from evidrake.streaming.asks import answer_stream
 
