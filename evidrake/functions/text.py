@@ -6,12 +6,16 @@ Unicode white space, which Spark's ``trim`` does not.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
 
 WHITE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The same as characters.
+WHITE_CHARACTERS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
@@ -21,7 +25,24 @@ def words(alternatives: str) -> str:
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{WHITE}+|{WHITE}+$", "")
+    """Without white space at both ends; looks at the ends only, which a pattern does not."""
+    return F.btrim(x, F.lit(WHITE_CHARACTERS))
+
+
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def to_fixed(x: Column) -> Column:
+    """``x`` (0 to 1, or a little more) to three places by its exact binary value, as printing it would give.
+
+    ``round`` goes by the shortest decimal form, which can lie on a half that the value itself lies below.
+    """
+    n, bits = F.round(x * 1000).cast("long"), 2**60
+    exact = F.floor(x * float(bits)).cast("decimal(20,0)") * F.lit(2000).cast("decimal(5,0)")
+    half = (2 * n - 1).cast("decimal(10,0)") * F.lit(bits).cast("decimal(20,0)")
+    return (n - F.when(exact < half, 1).otherwise(0)) / 1000
 
 
 def literals(values: list[str]) -> Column:

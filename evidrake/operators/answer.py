@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import content_stems, protected_sentences, restem, trim, wants_compact
+from ..functions.text import content_stems, protected_sentences, restem, to_fixed, trim, wants_compact
 from .gate import rounded, total_weight
 
 
@@ -82,7 +82,7 @@ def selected_first() -> Column:
 def response(answered: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id",), provider_available: bool = False) -> DataFrame:
     """The projection that a caller gets: the answer, the number of chunks, and the retrieved ones by rank."""
     counts = chunks.groupBy(*keys).agg(F.count("*").alias("chunk_count"))
-    retrieved = F.transform("results", lambda r: F.struct(F.concat(F.lit("chunk_"), r.chunk_index.cast("string")).alias("id"), F.round(r.score, 3).alias("score")))
+    retrieved = F.transform("results", lambda r: F.struct(F.concat(F.lit("chunk_"), r.chunk_index.cast("string")).alias("id"), to_fixed(r.score).alias("score")))
     return answered.join(counts, list(keys), "left").select(
         "question_id", *keys, "answer", "cited_chunk_ids", "mode", "confidence", "reason", "evidence_coverage",
         F.lit(provider_available).alias("provider_available"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), retrieved.alias("retrieved_chunks"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import trim
+from ..functions.text import bound, trim
 
 
 def clamp(target: float, overlap: float) -> tuple[int, int]:
@@ -17,10 +17,16 @@ def clamp(target: float, overlap: float) -> tuple[int, int]:
 
 
 def windows(text: Column, target: int, overlap: int) -> Column:
-    """Trimmed windows of ``target`` characters, each ``target - overlap`` after the one before; the last ends the text."""
+    """Trimmed windows of ``target`` characters, each ``target - overlap`` after the one before; the last ends the text.
+
+    The text is cut into strides once and a window joins the few that it covers, so the cost is linear in the text.
+    """
     step = target - overlap
+    covered = -(-target // step)
     last = F.greatest(F.ceil((F.length(text) - target) / step).cast("int"), F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda k: trim(F.substring(text, k * step + 1, F.lit(target))))
+    strides = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % step), F.lit(0))
+    window = lambda s, k: trim(F.left(F.array_join(F.slice(s, k + 1, covered), ""), F.lit(target)))
+    return bound(strides, lambda s: F.transform(F.sequence(F.lit(0), last), lambda k: window(s, k)))
 
 
 def packed(text: Column, target: int, overlap: int) -> Column:
@@ -41,13 +47,18 @@ def packed(text: Column, target: int, overlap: int) -> Column:
     return F.aggregate(paragraphs, start, add, flush)
 
 
+def chunks_of(text: Column, target: int, overlap: int) -> Column:
+    """The chunks of a text as an array; null for null, empty for a blank text. Each step is computed once."""
+
+    def cut(t: Column) -> Column:
+        wraps = F.length(t) > L.WRAP_FACTOR * target
+        return bound(packed(t, target, overlap), lambda parts: F.when((F.size(parts) == 1) & wraps, windows(t, target, overlap)).otherwise(parts))
+
+    return bound(trim(F.replace(text, F.lit("\r\n"), F.lit("\n"))), cut)
+
+
 def chunk_documents(docs: DataFrame, target: float = L.TARGET_CHARS, overlap: float = L.OVERLAP_CHARS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, chunk_index, chunk_id, text) from (keys, text); null and blank texts have no chunks."""
-    target, overlap = clamp(target, overlap)
-    plain = docs.select(*keys, trim(F.regexp_replace("text", "\r\n", "\n")).alias("text")).where("text <> ''")
-    made = plain.select(*keys, "text", packed(F.col("text"), target, overlap).alias("parts"))
-    long = (F.size("parts") <= 1) & (F.length("text") > L.WRAP_FACTOR * target)
-    parts = made.select(*keys, F.when(long, windows(F.col("text"), target, overlap)).otherwise(F.col("parts")).alias("parts"))
-    return parts.select(*keys, F.posexplode("parts").alias("chunk_index", "text")).select(
-        *keys, "chunk_index", F.concat(F.lit("chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text"
-    )
+    # outer: a generator that drops empty arrays gets a filter on its input, which would pack every text again
+    parts = docs.select(*keys, F.posexplode_outer(chunks_of(F.col("text"), *clamp(target, overlap))).alias("chunk_index", "text")).where("chunk_index IS NOT NULL")
+    return parts.select(*keys, "chunk_index", F.concat(F.lit("chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text")

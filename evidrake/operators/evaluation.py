@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..sources.store import materialize
 from .answer import answer
 from .chunking import chunk_documents, clamp
 from .gate import assessed_pairs, decide
+from .index import build_index, index_chunks
 
 
 def dataset_problems(cases: DataFrame, documents: DataFrame) -> DataFrame:
@@ -30,8 +32,21 @@ def assessed_cases(cases: DataFrame, documents: DataFrame, target: float = L.TAR
     docs = documents.select(F.col("document").alias("doc_id"), "text")
     questions = cases.select(F.col("id").alias("question_id"), "question")
     asks = cases.select(F.col("id").alias("question_id"), F.col("document").alias("doc_id"))
-    pairs = assessed_pairs(chunk_documents(docs, target, overlap), questions, asks)
-    return pairs.join(cases.select(F.col("id").alias("question_id"), "answerable", "expected_evidence").withColumnRenamed("answerable", "is_answerable"), "question_id")
+    pairs = assessed_pairs(build_index(docs, target, overlap), questions, asks)
+    return pairs.join(labels_of(cases), "question_id")
+
+
+def labels_of(cases: DataFrame) -> DataFrame:
+    return cases.select(F.col("id").alias("question_id"), F.col("answerable").alias("is_answerable"), "expected_evidence")
+
+
+def evaluate(cases: DataFrame, documents: DataFrame, target: float = L.TARGET_CHARS, overlap: float = L.OVERLAP_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(metrics, outcomes, failed outcomes) of sound cases; raises with the first problems of an unsound set."""
+    problems = [f"{r.id}: {r.problem}" for r in dataset_problems(cases, documents).orderBy("id").limit(20).collect()]
+    if problems:
+        raise ValueError("unsound cases: " + "; ".join(problems))
+    done = materialize(outcomes(assessed_cases(cases, documents, target, overlap)), "outcomes")
+    return metrics(done), done, done.where("NOT correct")
 
 
 def outcomes(assessed: DataFrame, threshold: Column | float = L.COVERAGE) -> DataFrame:
@@ -91,11 +106,18 @@ def chunking_sweep(cases: DataFrame, documents: DataFrame, targets: tuple[int, .
         chunks = one if chunks is None else chunks.unionByName(one)
     configurations = F.explode(F.array(*[F.struct(F.lit(t).alias("target_chars"), F.lit(o).alias("overlap_chars")) for t, o in grid]))
     asks = cases.select(F.col("id").alias("question_id"), F.col("document").alias("doc_id"), configurations.alias("c")).select("question_id", "doc_id", "c.*")
-    pairs = assessed_pairs(chunks, cases.select(F.col("id").alias("question_id"), "question"), asks, keys=keys)
-    labelled = pairs.join(cases.select(F.col("id").alias("question_id"), F.col("answerable").alias("is_answerable"), "expected_evidence"), "question_id")
+    pairs = assessed_pairs(index_chunks(chunks, keys), cases.select(F.col("id").alias("question_id"), "question"), asks)
+    labelled = pairs.join(labels_of(cases), "question_id")
     return metrics(outcomes(labelled), ("target_chars", "overlap_chars")).select("target_chars", "overlap_chars", "overall_accuracy")
 
 
+def within_tolerance(sweep: DataFrame, target: int = L.TARGET_CHARS, overlap: int = L.OVERLAP_CHARS, tolerance: float = L.CHUNK_TOLERANCE) -> DataFrame:
+    """(accuracy, best, ok): whether the default chunking is near the best of the sweep."""
+    default = F.max(F.when((F.col("target_chars") == target) & (F.col("overlap_chars") == overlap), F.col("overall_accuracy")))
+    row = sweep.agg(default.alias("accuracy"), F.max("overall_accuracy").alias("best"))
+    return row.withColumn("ok", F.coalesce(F.round(F.col("best") - F.col("accuracy"), L.PLACES) <= tolerance, F.lit(False)))
+
+
 def gate_failures(report: DataFrame, minimums: dict[str, float], maximums: dict[str, float]) -> DataFrame:
     """(metric, value, floor, ceiling) of each metric outside its limits."""
     spark: SparkSession = report.sparkSession
@@ -106,7 +128,39 @@ def gate_failures(report: DataFrame, minimums: dict[str, float], maximums: dict[
     return joined.where(F.col("value").isNull() | (F.col("value") < F.col("floor")) | (F.col("value") > F.col("ceiling"))).select("metric", "value", "floor", "ceiling")
 
 
-def format_report(report: DataFrame) -> str:
-    """A one-row report as text lines."""
+#: What each metric is called in a report, in the order of its lines.
+_LINES = (
+    ("hit_at_one", "first chunk holds the evidence"), ("hit_at_three", "one of three holds it"), ("mrr", "mean reciprocal rank"), ("answer_accuracy", "answers with the evidence"),
+    ("over_refusal_rate", "refused though answerable"), ("abstention_recall", "rightly refused, of those to refuse"), ("abstention_precision", "rightly refused, of the refused"),
+    ("false_answer_rate", "answered though not answerable"), ("overall_accuracy", "all cases right"),
+)
+
+
+def format_report(report: DataFrame, failed: DataFrame | None = None, most: int = 20) -> str:
+    """A one-row report as text lines: shares as percentages, then up to ``most`` failed cases with what went wrong."""
     row = report.first()
-    return "\n".join(f"{k:>22}  {v}" for k, v in row.asDict().items()) if row else "no cases"
+    if row is None:
+        return "no cases"
+    out = [f"cases {row.total_cases}: {row.answerable_cases} answerable, {row.unanswerable_cases} not"]
+    out += [f"{text:<38} {100 * row[name]:6.1f} %" for name, text in _LINES]
+    out.append(f"{'mean characters of an answer':<38} {row.mean_answer_chars:6d}")
+    if failed is not None:
+        bad = failed.orderBy("id").limit(most + 1).collect()
+        out += [f"failed {r.id}: {_what(r)} | {r.question}" for r in bad[:most]] + (["more failed"] if len(bad) > most else [])
+    return "\n".join(out)
+
+
+def _what(r: Row) -> str:
+    if not r.answerable:
+        return "answered, though nothing supports an answer"
+    found = f"evidence at rank {r.evidence_rank}" if r.evidence_rank else "evidence not retrieved"
+    return f"{'refused' if r.abstained else 'answered without the evidence'}, {found}, top score {r.top_score:.4f}"
+
+
+def format_sweep(sweep: DataFrame) -> str:
+    """A sweep as a table of text lines, in order of its first columns; shares as percentages."""
+    names = sweep.columns
+    show = lambda n, v: f"{100 * v:.1f} %" if n.endswith(("_recall", "_rate", "_accuracy")) else str(v)
+    rows = [names, *[[show(n, r[n]) for n in names] for r in sweep.orderBy(*names[:2]).collect()]]
+    wide = [max(len(r[i]) for r in rows) for i in range(len(names))]
+    return "\n".join("  ".join(x.rjust(w) for x, w in zip(r, wide, strict=True)) for r in rows)

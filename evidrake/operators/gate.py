@@ -13,7 +13,7 @@ from ..functions import lexicon as L
 from ..functions.text import (
     asks_about_instruction, content_stems, evidence_sentences, has_negation, is_instruction_evidence, is_positive_yes_no, restem, starts_with_negation,
 )
-from .index import postings, stem_weights
+from .index import Index, stem_weights
 from .retrieval import retrieve
 
 
@@ -137,6 +137,6 @@ def decide(assessed: DataFrame, threshold: Column | float = L.COVERAGE) -> DataF
     )
 
 
-def assessed_pairs(chunks: DataFrame, questions: DataFrame, asks: DataFrame, k: float = L.TOP_K, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    posts = postings(chunks, keys)
-    return assess(gather(retrieve(chunks, questions, asks, k, posts, keys), questions, asks, posts, keys))
+def assessed_pairs(index: Index, questions: DataFrame, asks: DataFrame, k: float = L.TOP_K) -> DataFrame:
+    posts, keys = index.postings, index.keys
+    return assess(gather(retrieve(index.chunks, questions, asks, k, posts, keys), questions, asks, posts, keys))

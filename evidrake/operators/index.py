@@ -5,10 +5,34 @@ All counts are windows and aggregates over supersets of the scope's keys, so one
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions.text import stem, tokens
+from ..sources.store import materialize
+from .chunking import chunk_documents
+
+
+@dataclass
+class Index:
+    """Stored chunks and postings, read by every later step and by any number of questions."""
+
+    chunks: DataFrame
+    postings: DataFrame
+    keys: tuple[str, ...] = ("doc_id",)
+
+
+def build_index(docs: DataFrame, target: float = L.TARGET_CHARS, overlap: float = L.OVERLAP_CHARS, keys: tuple[str, ...] = ("doc_id",)) -> Index:
+    """Chunks and postings of (keys, text), each computed once and written to the shared folder."""
+    return index_chunks(chunk_documents(docs, target, overlap, keys), keys)
+
+
+def index_chunks(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Index:
+    kept = materialize(chunks, "chunks")
+    return Index(kept, materialize(postings(kept, keys), "postings"), keys)
 
 
 def postings(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -19,7 +43,8 @@ def postings(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFram
     scope = Window.partitionBy(*keys)
     split = chunks.repartition(*keys).select(*keys, "chunk_index", tokens(F.col("text")).alias("ts"))
     split = split.withColumn("n_tokens", F.size("ts")).withColumn("n_chunks", F.count("*").over(scope))
-    tf = split.select(*keys, "chunk_index", "n_tokens", "n_chunks", F.explode("ts").alias("term")).groupBy(*keys, "chunk_index", "term", "n_tokens", "n_chunks").agg(F.count("*").alias("tf"))
+    long = split.select(*keys, "chunk_index", "n_tokens", "n_chunks", F.explode("ts").alias("term"))
+    tf = long.groupBy(*keys, "chunk_index", "term", "n_tokens", "n_chunks").agg(F.count("*").alias("tf"))
     counted = tf.withColumn("df", F.count("*").over(Window.partitionBy(*keys, "term")))
     counted = counted.withColumn("idf", F.ln((F.col("n_chunks") + 1) / (F.col("df") + 1)) + 1)
     weighted = counted.withColumn("weight", F.col("tf") / F.col("n_tokens") * F.col("idf"))

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import WHITE, escape_attribute, escape_text, trim
 from .answer import selected_first
@@ -32,9 +33,9 @@ def prompts(decided: DataFrame) -> DataFrame:
 
 
 def call(prompted: DataFrame, caller: Callable[[str, str], str | None]) -> DataFrame:
-    """prompted with raw: ``caller(rules, prompt)``, null where it fails."""
+    """prompted with raw: ``caller(rules, prompt)``, null where it fails. Other columns are passed on as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(p: str | None) -> str | None:
             try:
                 return None if p is None else caller(RULES, p)
@@ -42,13 +43,11 @@ def call(prompted: DataFrame, caller: Callable[[str, str], str | None]) -> DataF
                 return None
 
         for b in batches:
-            yield b[["question_id", "doc_id"]].assign(raw=[one(p) for p in b["prompt"]])
+            raw = pa.array([one(p) for p in b.column("prompt").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, raw], names=[*b.schema.names, "raw"])
 
-    fields = prompted.select("question_id", "doc_id")
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    got = prompted.select("question_id", "doc_id", "prompt").mapInPandas(run, StructType([*fields.schema.fields, StructField("raw", StringType())]))
-    return prompted.join(got, ["question_id", "doc_id"], "left")
+    kept = prompted.drop("raw")
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("raw", StringType())]))
 
 
 def validated(raw: Column, allowed: Column) -> tuple[Column, Column, Column]:

@@ -20,30 +20,40 @@ def whole_k(k: float) -> int:
 def question_terms(questions: DataFrame) -> DataFrame:
     """(question_id, term, share): of the question's tokens."""
     split = questions.select("question_id", tokens(F.col("question")).alias("ts"))
-    return split.select("question_id", F.size("ts").alias("n"), F.explode("ts").alias("term")).groupBy("question_id", "n", "term").agg((F.count("*") / F.col("n")).alias("share")).drop("n")
+    long = split.select("question_id", F.size("ts").alias("n"), F.explode("ts").alias("term"))
+    return long.groupBy("question_id", "n", "term").agg((F.count("*") / F.col("n")).alias("share")).drop("n")
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, asks: DataFrame | None, k: float = L.TOP_K, posts: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(question_id, keys, rank, chunk_index, score, text); chunks that share no term stay candidates with a score of 0.
-
-    ``asks``: (question_id, keys), or None where a bounded list of questions (broadcast) is put to every scope. Only
-    terms of the questions meet the postings.
-    """
-    posts = postings(chunks, keys) if posts is None else posts
+def scores(posts: DataFrame, questions: DataFrame, asked: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
+    """(question_id, keys, chunk_index, score) of the chunks that share a term with their question."""
     q = question_terms(questions)
     found = posts.select(*keys, "term", "chunk_index", "idf", "df", "weight", "norm")
-    if asks is None:
-        met = found.join(F.broadcast(q), "term")
-        every = chunks.select(*keys, "chunk_index", "text").crossJoin(F.broadcast(questions.select("question_id").distinct()))
-    else:
-        asked = asks.select("question_id", *keys).distinct()
-        met = asked.join(q, "question_id").join(found, [*keys, "term"])
-        every = asked.join(chunks.select(*keys, "chunk_index", "text"), list(keys))
+    met = found.join(F.broadcast(q), "term") if asked is None else asked.join(q, "question_id").join(found, [*keys, "term"])
     met = met.withColumn("wq", F.col("share") * F.col("idf"))
     # a term of the question has one row for each of the df chunks that hold it
     length = F.sqrt(F.sum(F.col("wq") * F.col("wq") / F.col("df")).over(Window.partitionBy("question_id", *keys)))
-    dots = met.withColumn("q_norm", length).groupBy("question_id", *keys, "chunk_index").agg(F.sum(F.col("wq") * F.col("weight")).alias("dot"), F.first("q_norm").alias("q_norm"), F.first("norm").alias("norm"))
-    scored = dots.select("question_id", *keys, "chunk_index", F.coalesce(F.try_divide("dot", F.col("q_norm") * F.col("norm")), F.lit(0.0)).alias("score"))
-    full = every.join(scored, ["question_id", *keys, "chunk_index"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    dots = met.withColumn("q_norm", length).groupBy("question_id", *keys, "chunk_index").agg(
+        F.sum(F.col("wq") * F.col("weight")).alias("dot"), F.first("q_norm").alias("q_norm"), F.first("norm").alias("norm"))
+    return dots.select("question_id", *keys, "chunk_index", F.coalesce(F.try_divide("dot", F.col("q_norm") * F.col("norm")), F.lit(0.0)).alias("score"))
+
+
+def retrieve(
+    chunks: DataFrame, questions: DataFrame, asks: DataFrame | None, k: float = L.TOP_K, posts: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """(question_id, keys, rank, chunk_index, score, text); chunks that share no term stay candidates with a score of 0.
+
+    ``asks``: (question_id, keys), or None where a bounded list of questions (broadcast) is put to every scope. Only
+    terms of the questions meet the postings, and only the winners meet the texts: of the chunks without a shared term
+    no more than the first k of a scope can win.
+    """
+    posts = postings(chunks, keys) if posts is None else posts
+    asked = None if asks is None else asks.select("question_id", *keys).distinct()
+    first = Window.partitionBy(*keys).orderBy("chunk_index")
+    heads = chunks.select(*keys, "chunk_index").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= whole_k(k)).drop("_n")
+    every = heads.crossJoin(F.broadcast(questions.select("question_id").distinct())) if asked is None else asked.join(heads, list(keys))
+    both = scores(posts, questions, asked, keys).unionByName(every.withColumn("score", F.lit(0.0)))
+    merged = both.repartition("question_id", *keys).groupBy("question_id", *keys, "chunk_index").agg(F.max("score").alias("score"))
     order = Window.partitionBy("question_id", *keys).orderBy(F.round("score", L.PLACES).desc(), "chunk_index")
-    return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= whole_k(k)).select("question_id", *keys, "rank", "chunk_index", "score", "text")
+    ranked = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= whole_k(k))
+    texts = chunks.select(*keys, "chunk_index", "text")
+    return ranked.join(texts, [*keys, "chunk_index"]).select("question_id", *keys, "rank", "chunk_index", "score", "text")

@@ -12,20 +12,34 @@ GOLDEN_SET = f"version string, description string, documents map<string, string>
 def golden_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(cases, document paths) of a JSON golden set."""
     data = spark.read.schema(GOLDEN_SET).json(path, multiLine=True)
-    cases = data.select(F.explode("cases").alias("c")).select("c.id", "c.document", "c.question", "c.answerable", F.col("c.expectedEvidence").alias("expected_evidence"), "c.note")
+    c = "c.id c.document c.question c.answerable c.expectedEvidence c.note".split()
+    cases = data.select(F.explode("cases").alias("c")).select(*c).withColumnRenamed("expectedEvidence", "expected_evidence")
     return cases, data.select(F.explode("documents").alias("document", "path"))
 
 
 def text_documents(spark: SparkSession, paths: DataFrame, root: str) -> DataFrame:
-    """(document, text): whole files below ``root``, matched to (document, path)."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"))
-    named = paths.select("document", F.regexp_replace("path", r"^\./", "").alias("path"))
-    return named.join(files, F.expr("endswith(file, concat('/', path))")).select("document", "text")
+    """(document, text): whole files below ``root``, matched to (document, path) by their path relative to it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    start = len(system.makeQualified(at).toUri().getPath().rstrip("/")) + 2
+    file = F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), r"\+", "%2B"))
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.substr(file, F.lit(start)).alias("path"))
+    return paths.select("document", F.regexp_replace("path", r"^(\./)+", "").alias("path")).join(files, "path").select("document", "text")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions (a small file is one task, however long its texts).
+
+    A table of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_report(report: DataFrame, path: str) -> None:
+    """A report or a sweep, a few rows, as one JSON file in the folder ``path``, which is replaced."""
     report.coalesce(1).write.mode("overwrite").json(path)

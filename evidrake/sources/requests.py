@@ -28,18 +28,37 @@ def validate(asked: DataFrame) -> DataFrame:
     return _checked(asked.withColumn("document_text", trim(F.col("document_text"))).withColumn("question", trim(F.col("question"))), F.when(F.lit(False), ""))
 
 
-def _checked(df: DataFrame, before: Column) -> DataFrame:
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    error = (
-        before.when(blank("document_text"), "documentText must be a text that is not blank")
-        .when(blank("question"), "question must be a text that is not blank")
-        .when(F.length("document_text") > L.DOCUMENT_LIMIT, "document is too long")
-        .when(F.length("question") > L.QUESTION_LIMIT, "question is too long")
+def _problem(document: Column, question: Column) -> Column:
+    """By the lengths of both; the first that holds counts."""
+    return (
+        F.when(document == 0, "documentText must be a text that is not blank")
+        .when(question == 0, "question must be a text that is not blank")
+        .when(document > L.DOCUMENT_LIMIT, "document is too long")
+        .when(question > L.QUESTION_LIMIT, "question is too long")
     )
+
+
+def _with_status(df: DataFrame, error: Column) -> DataFrame:
     out = df.withColumn("error", error)
     return out.withColumn("status", F.when(F.col("error").isNull(), 200).when(F.col("error").endswith("too long"), 413).otherwise(400))
 
 
+def _checked(df: DataFrame, before: Column) -> DataFrame:
+    length = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
+    return _with_status(df, F.coalesce(before, _problem(length("document_text"), length("question"))))
+
+
+def checked_asks(asks: DataFrame, questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """asks (question_id, doc_id) with error and status: unknown or blank documents and questions 400, too long ones 413.
+
+    Only lengths meet the asks, not texts; of rows that share an id the longest counts.
+    """
+    size = lambda df, key, text, name: df.groupBy(key).agg(F.max(F.length(trim(F.col(text)))).alias(name))
+    rows = asks.select("question_id", "doc_id").distinct().join(size(documents, "doc_id", "text", "_document"), "doc_id", "left")
+    rows = rows.join(size(questions, "question_id", "question", "_question"), "question_id", "left")
+    return _with_status(rows, _problem(F.coalesce("_document", F.lit(0)), F.coalesce("_question", F.lit(0)))).drop("_document", "_question")
+
+
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantined)"""
     return checked.where("error IS NULL"), checked.where("error IS NOT NULL")
