@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows of an Arrow batch sent to Python; whole texts are long, so the default of 10,000 is too many.
-BATCH_ROWS = 512
+from ..sources.store import materialize, release, shared_dir, shared_root  # noqa: F401  (also for the operators here)
+
+#: Rows and bytes of an Arrow batch sent to Python; whole texts are long, so Spark's defaults are too much.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -31,43 +32,7 @@ def prepare(spark: SparkSession) -> None:
         context._evidrake_sent = True
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, a local master) is a temporary folder made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="evidrake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/evidrake-{label}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._evidrake_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table of :func:`materialize` that nothing reads any more."""
-    path = getattr(df, "_evidrake_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -159,19 +159,20 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """The pieces of each document, numbered among those of their length in their partition; a table."""
     prepare(docs.sparkSession)
-    tail = np.array([end_id], "<u4").tobytes()
     arrow = arrow_schema(docs.sparkSession, _PIECES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = ChunkEncoder.of(vocabulary, white_space_dropped=True), TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
+            if not b.num_rows:
+                continue
             rows = []
-            for doc, data in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):
-                data += tail
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part_ids = data[at : at + 4 * capacity]
-                    length = len(part_ids) // 4
-                    rows.append((doc, k, at // 4, length, zlib.crc32(part_ids), part, seen[length]))
+            ids, offsets = encoder.with_end(b.column("text"), end_id)
+            data = memoryview(ids.astype("<u4")).cast("B")
+            for doc, first, end in zip(b.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for k, at in enumerate(range(first, end, capacity)):
+                    length = min(capacity, end - at)
+                    rows.append((doc, k, at - first, length, zlib.crc32(data[4 * at : 4 * (at + length)]), part, seen[length]))
                     seen[length] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)

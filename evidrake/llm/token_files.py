@@ -6,7 +6,7 @@ byte on each level; the place on the next level is the rank of the bit. Files ho
 order of doc_id and a directory of documents.
 
 ``write_tokens``: nulls in text count as empty, a null doc_id sorts first and comes back null, repeated ids are kept
-in the order of their texts, an empty table gives no files and no rows, other columns are not read.
+in the order of their texts' hashes, then their texts, an empty table gives no files and no rows, other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,15 +26,14 @@ from .chunk_encoding import ChunkEncoder
 from .common import arrow_schema, map_rows, materialize, partitions, prepare, shared_dir
 from .shared_files import make_dir, open_file, write_file
 
-MAGIC, STEP = b"EDAC0001", 512
+MAGIC, STEP = b"EDAC0002", 512
 #: Tokens after which a task starts another file.
 FILE_TOKENS = 4_000_000
-NULL_ID = -(2**63)
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
-def pack(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
-    """The file of ``ids``; ``ends``: for each document the number of ids up to its end."""
+def pack(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, nulls: int = 0) -> bytes:
+    """The file of ``ids``; ``ends``: for each document the number of ids up to its end. The first ``nulls`` have no id."""
     parts, rest = [], ids.astype(np.uint32)
     levels = []
     while True:
@@ -47,7 +47,7 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
         rest = rest[more] >> 8
         if not len(rest):
             break
-    head = MAGIC + struct.pack("<QQI", len(ids), len(doc_ids), len(levels)) + b"".join(struct.pack("<QQQ", *x) for x in levels)
+    head = MAGIC + struct.pack("<QQQI", len(ids), len(doc_ids), nulls, len(levels)) + b"".join(struct.pack("<QQQ", *x) for x in levels)
     return head + doc_ids.astype("<i8").tobytes() + ends.astype("<u8").tobytes() + b"".join(parts)
 
 
@@ -57,9 +57,9 @@ class TokenFile:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token file")
-        self.n, self.docs, levels = struct.unpack_from("<QQI", data, 8)
-        sizes = [struct.unpack_from("<QQQ", data, 28 + 24 * k) for k in range(levels)]
-        at = 28 + 24 * levels
+        self.n, self.docs, self.nulls, levels = struct.unpack_from("<QQQI", data, 8)
+        sizes = [struct.unpack_from("<QQQ", data, 36 + 24 * k) for k in range(levels)]
+        at = 36 + 24 * levels
         self.doc_ids = np.frombuffer(data, "<i8", self.docs, at)
         self.ends = np.frombuffer(data, "<u8", self.docs, at + 8 * self.docs).astype(np.int64)
         at += 16 * self.docs
@@ -120,47 +120,51 @@ _MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write token files to ``folder``; returns the manifest, one row for a file.
 
-    The manifest has base: the tokens of all files before. It has one row for ``file_tokens`` tokens, so that its one
-    ordered window stays small.
+    The manifest has base: the tokens of all files before. A file ends with the batch (some MB of text) that reaches
+    ``file_tokens``.
     """
     spark = docs.sparkSession
     prepare(spark)
     make_dir(folder)
     arrow = arrow_schema(spark, _MANIFEST)
-    tail = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = ChunkEncoder.of(vocabulary), TaskContext.get().partitionId(), 0
-        ids, names, ends, total = [], [], [], 0
+        ids, names, ends, total, nulls = [], [], [], 0, 0
         rows: list[tuple] = []
 
         def flush() -> None:
-            nonlocal ids, names, ends, total, seq
+            nonlocal ids, names, ends, total, nulls, seq
             if names:
-                file = f"tokens-{part:06d}-{seq:05d}.dac"
-                write_file(folder, file, pack(np.frombuffer(b"".join(ids), "<u4"), np.array(names, np.int64), np.array(ends, np.int64)))
-                rows.append((part, seq, file, len(names), total))
-                ids, names, ends, total, seq = [], [], [], 0, seq + 1
+                file, docs_here = f"tokens-{part:06d}-{seq:05d}.dac", np.concatenate(names)
+                write_file(folder, file, pack(np.concatenate(ids), docs_here, np.concatenate(ends), nulls))
+                rows.append((part, seq, file, len(docs_here), total))
+                ids, names, ends, total, nulls, seq = [], [], [], 0, 0, seq + 1
 
         for b in batches:
-            keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for k, x in zip(keys, encoder.encode(texts), strict=True):
-                x += tail
-                ids.append(x)
-                total += len(x) // 4
-                names.append(NULL_ID if k is None else k)
-                ends.append(total)
-                if total >= file_tokens:
-                    flush()
+            if not b.num_rows:
+                continue
+            got, offsets = encoder.with_end(b.column("text"), end_id)
+            ids.append(got)
+            names.append(pc.fill_null(b.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            nulls += b.column("doc_id").null_count
+            ends.append(offsets[1:] + total)
+            total += len(got)
+            if total >= file_tokens:
+                flush()
         flush()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    in_order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    in_order = in_order.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id (or without one) are dealt by their text's hash as well, so that many of them are not one task
+    in_order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    in_order = in_order.repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     files = materialize(in_order.mapInArrow(write, _MANIFEST), "token-manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # two levels: the one ordered window has a row for each part, not for each file
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("within", within).join(parts, "part").select(*files.columns, (F.col("before") + F.col("within")).alias("base"))
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
@@ -173,8 +177,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                 t = TokenFile(f.read())
             at = 0
             for k, end in enumerate(t.ends.tolist()):
-                name = int(t.doc_ids[k])
-                out["doc_id"].append(None if name == NULL_ID else name)
+                out["doc_id"].append(None if k < t.nulls else int(t.doc_ids[k]))
                 out["start"].append(base + at)
                 out["n_tokens"].append(end - at)
                 out["ids_crc32"].append(zlib.crc32(t.span(at, end).astype("<u4").tobytes()))

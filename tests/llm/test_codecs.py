@@ -17,7 +17,7 @@ from evidrake.llm.queries import BYTE_BPE, MULTI_RANKS, WORD_BPE
 
 ODD = [
     None, "", "a", "  b", " a\n\n b", "x   y\tz \n q", "é́ á b", "'s it's  !!  \n", "a<|endoftext|> b", "\n", "\n\na", "a \nb\n c  ", "a　b c  d", "İstanbul ΑΣ ΣΑ", "123 456\n789  0",
-    "a\x1cb !\x1c! c", "  ", "😀 😀😀", "x\t y\t\t z", "word " * 3000, "ab" * 4000, "　 　a",
+    "a\x1cb !\x1c! c", "\x00 a \x00b", "a \x01 b \x01c", "<|startoftext|> x<|endoftext|>y", "don't  it's\n'll", "  ", "😀 😀😀", "x\t y\t\t z", "word " * 3000, "ab" * 4000, "　 　a",
 ]
 ROWS = [(i * 3, t, "extra") for i, t in enumerate(ODD)] + [(None, "null id", "x"), (6, "a", "again"), (6, "a", "again")]
 SCHEMA = "doc_id long, text string, score string"
@@ -26,7 +26,6 @@ SCHEMA = "doc_id long, text string, score string"
 @pytest.mark.parametrize(("path", "dropped"), [(BYTE_BPE, False), (WORD_BPE, True)])
 def test_chunks_encode_as_the_whole(path, dropped):
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     encoder, rng = ChunkEncoder(path, dropped, memo_entries=50), random.Random(4)
     texts = [*ODD, *["".join(rng.choice(["a", "The", " ", " ", "\n", "\t", "é", "!", "9", "'s", "\x1c", " ", "ing"]) for _ in range(rng.randint(0, 30))) for _ in range(1500)]]
     for at in range(0, len(texts), 100):
@@ -50,7 +49,6 @@ def test_token_files(spark):
     folder = shared_dir(spark, "test")
     got = token_files.read_tokens(token_files.write_tokens(docs, folder, BYTE_BPE, file_tokens=500), folder).collect()
     whole, at, want = Tokenizer.from_file(BYTE_BPE), 0, []
-    whole.encode_special_tokens = True
     for i, t, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -115,11 +113,28 @@ def test_packing_uses_few_sequences():
         assert sum(c for c, _ in packed) <= -(-int(lengths.sum()) // 256) * 1.02 + 2
 
 
+def test_packing_of_long_texts_at_the_production_length(spark):
+    docs = spark.createDataFrame([(1, "word " * 9000, "x"), (2, "short", "x"), (3, "a " * 4095, "x"), (4, "a " * 4096, "x")], SCHEMA)
+    rows = packing.query(docs, WORD_BPE).collect()
+    whole, want = Tokenizer.from_file(WORD_BPE), []
+    for i, t in ((1, "word " * 9000), (2, "short"), (3, "a " * 4095), (4, "a " * 4096)):
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 1]
+        want += [(i, k, k * 4096, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for k, p in enumerate(ids[a : a + 4096] for a in range(0, len(ids), 4096))]
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
+    assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 4096)
+
+
+def test_least_and_null_ids_in_token_files(spark):
+    docs = spark.createDataFrame([(-(2**63), "a"), (None, "b"), (None, None), (0, "c")], "doc_id long, text string")
+    folder = shared_dir(spark, "test")
+    got = token_files.read_tokens(token_files.write_tokens(docs, folder, BYTE_BPE), folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(2**63), 0] and [r.start for r in got] == [0, 1, 3, 5] or [r.start for r in got] == [0, 2, 3, 5]
+
+
 def test_packing(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     rows = packing.query(docs, WORD_BPE, capacity=64).collect()
     whole = Tokenizer.from_file(WORD_BPE)
-    whole.encode_special_tokens = True
     want = []
     for i, t, _ in ROWS:
         ids = [*whole.encode(t or "", add_special_tokens=False).ids, 1]
