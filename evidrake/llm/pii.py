@@ -319,7 +319,8 @@ def train(documents: DataFrame, made: int = 400) -> Field:
             parts.append(sorted({text[a:b] for a, b in windows(text) if _LEAST.search(text, a, b) and b - a <= 400})[:8])
         return {"parts": parts}
 
-    found = map_rows(ids.select("text"), cut, "parts array<string>").toArrow().column("parts").to_pylist()
+    one = ids.groupBy("doc_id").agg(F.min("text").alias("text"))  # of rows that share an id one
+    found = map_rows(one.select("text"), cut, "parts array<string>").toArrow().column("parts").to_pylist()
     texts = sorted({x for row in found for x in row}, key=lambda x: hashlib.md5(x.encode()).digest())[:SAMPLE_WINDOWS]
     examples = [example(t, b) for t in texts if (b := base_spans(t))] + [example(t, s) for t, s in made_up(made)]
     model = Field()
