@@ -1,14 +1,16 @@
-"""Similarity self-join of documents: Jaccard of word shingles at a threshold, by MinHash banding.
+"""Similarity self-join of documents: Jaccard of word shingles at a threshold, by a MinHash LSH forest.
 
 Each document's shingle set (``width`` words, lower case, parted at white space; a shorter text is one shingle) gets
-``trees`` labels of ``depth`` minimum hashes. Documents that share a label's first hashes are candidates; how many is
-fixed for a run: the most that find a pair at the threshold with the target recall (:func:`matched_prefix`). This
-banding by a fixed prefix stands in for an LSH forest: labels are not sorted, and no longer or shorter prefix is tried.
-Candidates are verified exactly on their shingle sets.
+``trees`` labels of ``depth`` minimum hashes. Labels are sorted for each tree, so that neighbours share the longest
+prefixes and a shared prefix is a node of the tree's trie. Each document's prefix is shortened from the whole label
+step by step: at every step the documents of a node that are not united yet are compared by their whole signatures, and
+those that look alike are united. It ends where the node holds nothing new, and at the latest at the longest prefix that
+finds a pair at the threshold with the target recall (:func:`least_prefix`). Documents alone at that prefix take no part.
 
-Documents with equal sets form a class, whose members all link; only classes take part in the banding, so copies are
-never paired. Candidates are gathered into connected groups by one link for each document and bucket; each group is
-compared in pairs of blocks, all of them, without a cap; sums and a spanning link for each class come out, not pairs.
+United documents form groups, whose pairs are verified exactly on their shingle sets. Only documents that look alike by
+all hashes are united, so a prefix that many unlike documents share joins no group. Documents with equal sets form a
+class, whose members all link; only classes take part, so copies are never paired. Large nodes and groups are compared in
+pairs of blocks, all of them, without a cap; sums and a spanning link for each class come out, not pairs.
 
 Null and empty texts have no shingles and link with nothing, as do rows with a null id; rows that repeat an id count
 as copies; an empty table gives no rows; other columns are not read.
@@ -30,11 +32,14 @@ from .components import connected_components
 from .embedding_dedup import unite
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Candidates up to which their list is broadcast (16 bytes each); above it the texts are shuffled to them.
-BROADCAST_ROWS = 500_000
+#: Candidates up to which their list is broadcast (five columns, about 100 bytes each: 10 MB); above it the texts are shuffled.
+BROADCAST_ROWS = 100_000
+#: Share of equal hashes from which two documents of a trie node count as alike, for 120 hashes more than four standard
+#: deviations below a similarity of 0.8 (a pair at the threshold is lost here with a chance of 0.00002).
+ALIKE = 0.65
 
 
-def matched_prefix(threshold: float, trees: int, depth: int, target: float) -> int:
+def least_prefix(threshold: float, trees: int, depth: int, target: float) -> int:
     """The longest prefix whose match in one of the trees finds a pair at the threshold with the target recall."""
     for k in range(depth, 1, -1):
         if 1 - (1 - threshold**k) ** trees >= target:
@@ -80,26 +85,122 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _buckets(docs: DataFrame, width: int, trees: int, depth: int, prefix: int, seed: int) -> DataFrame:
-    """(doc_id, key, buckets): key is null without shingles; a bucket for each tree, of the matched prefix."""
+def _signed(docs: DataFrame, width: int, trees: int, depth: int, seed: int) -> DataFrame:
+    """(doc_id, key, hashes): key is null without shingles; the hashes (two bytes of each minimum) of all trees."""
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, trees * depth, dtype=np.uint64)
 
     def run(c: dict) -> dict:
-        shingler, keys, buckets = Shingler(width), [], []
+        shingler, keys, hashes = Shingler(width), [], []
         for text in c["text"]:
             s = shingler(text)
-            if not len(s):
-                keys.append(None)
-                buckets.append(None)
+            keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            hashes.append(signature(s, a, b).astype(">u2").tobytes() if len(s) else None)
+        return {"doc_id": c["doc_id"], "key": keys, "hashes": hashes}
+
+    return map_rows(docs, run, "doc_id long, key binary, hashes binary")
+
+
+def common_prefix(labels: np.ndarray) -> np.ndarray:
+    """How many first hashes each label shares with the one before (0 for the first)."""
+    same = np.zeros(labels.shape, bool)
+    same[1:] = labels[1:] == labels[:-1]
+    return np.cumprod(same, axis=1).sum(axis=1)
+
+
+def neighbours(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """(tree, label, node) of labels that share ``least`` hashes or more with one beside them in the sorted tree.
+
+    Labels are dealt in ranges, equal prefixes together, and read as a stream: nothing is held but the row before.
+    """
+    spark = classes.sparkSession
+    size = 2 * depth
+    own = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.substring("hashes", t * size + 1, F.lit(size)).alias("label")))
+    entries = classes.select("node", F.explode(own).alias("e")).select("e.tree", "e.label", "node", F.substring("e.label", 1, 2 * least).alias("prefix"))
+    dealt = entries.repartitionByRange(partitions(spark), "tree", "prefix").sortWithinPartitions("tree", "label", "node").drop("prefix")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, and whether it shares a prefix with the one before it
+        for b in batches:
+            if not b.num_rows:
                 continue
-            keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-            label = signature(s, a, b).reshape(trees, depth)
-            buckets.append([xxhash.xxh3_64_intdigest(label[t, :prefix].tobytes(), seed=t) - 2**63 for t in range(trees)])
-        return {"doc_id": c["doc_id"], "key": keys, "buckets": buckets}
+            joined = pa.Table.from_batches([b] if held is None else [held[0], b])
+            labels = np.frombuffer(b"".join(joined.column("label").to_pylist()), ">u2").reshape(len(joined), depth)
+            tree = joined.column("tree").to_numpy()
+            with_last = (common_prefix(labels) >= least) & (np.diff(tree, prepend=-1) == 0)
+            keep = with_last | np.concatenate([with_last[1:], [False]])
+            if held is not None:
+                keep[0] |= held[1]
+            held = b.slice(b.num_rows - 1), bool(with_last[-1])
+            out = joined.slice(0, len(joined) - 1).filter(pa.array(keep[:-1])).combine_chunks()
+            yield from out.to_batches()
+        if held is not None and held[1]:
+            yield held[0]
+
+    return dealt.mapInArrow(walk, dealt.schema)
+
+
+def alike(hashes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which rows of both have at least the share ALIKE of their hashes equal."""
+    need = ALIKE * hashes.shape[1]
+    out = np.zeros((len(hashes), len(others)), bool)
+    step = max(1, 4_000_000 // max(1, others.size))
+    for at in range(0, len(hashes), step):
+        out[at : at + step] = np.count_nonzero(hashes[at : at + step, None, :] == others[None, :, :], axis=2) >= need
+    return out
+
 
-    return map_rows(docs, run, "doc_id long, key binary, buckets array<long>")
+def descend(labels: np.ndarray, hashes: np.ndarray, least: int) -> np.ndarray:
+    """For rows of a trie node, sorted by label, the first row of each one's cluster.
+
+    From the longest shared prefix to the shortest: rows that a longer one has united are not compared again.
+    """
+    root, shared = np.arange(len(labels)), common_prefix(labels)
+    for k in range(labels.shape[1], least - 1, -1):
+        starts = np.flatnonzero(shared < k)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(labels)], strict=True):
+            if (root[lo:hi] == root[lo]).all():
+                continue
+            links = np.argwhere(alike(hashes[lo:hi], hashes[lo:hi])) + lo
+            links = links[root[links[:, 0]] < root[links[:, 1]]]
+            if len(links):
+                root = unite(len(root), np.concatenate([links, np.stack([root, np.arange(len(root))], 1)]))
+    return root
+
+
+def grouped(classes: DataFrame, trees: int, depth: int, least: int, block: int) -> DataFrame:
+    """(node, root): links that unite the documents of a trie node that look alike; spanning ones, not all."""
+    spark = classes.sparkSession
+    near = materialize(neighbours(classes, trees, depth, least).withColumn("prefix", F.substring("label", 1, 2 * least)), "forest")
+    sizes = near.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    with_hashes = near.join(sizes, ["tree", "prefix"]).join(classes.select("node", "hashes"), "node")
+    placed = with_hashes.select("*", at.alias("at"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "tree", "prefix", F.least("at", "other").alias("b1"), F.greatest("at", "other").alias("b2"), (F.col("at") > F.col("other")).cast("int").alias("side"), "node", "label", "hashes")
+    keys = ["tree", "prefix", "b1", "b2"]
+    schema = arrow_schema(spark, "node long, root long")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, keys):
+            if len(run) < 2:
+                continue
+            hashes = np.frombuffer(b"".join(run.column("hashes").to_pylist()), ">u2").reshape(len(run), -1).astype(np.uint16)
+            ids = run.column("node").to_numpy()
+            if run.column("b1")[0].as_py() == run.column("b2")[0].as_py():
+                labels = np.frombuffer(b"".join(run.column("label").to_pylist()), ">u2").reshape(len(run), -1)
+                root = descend(labels, hashes, least)
+            else:
+                side = run.column("side").to_numpy()
+                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                i, j = np.nonzero(alike(hashes[left], hashes[right]))
+                root = unite(len(run), np.stack([left[i], right[j]], 1))
+            moved = np.flatnonzero(root != np.arange(len(run)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], schema=schema)
+
+    dealt = placed.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "label")
+    return dealt.mapInArrow(search, "node long, root long")
 
 
 def jaccard_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, threshold: float) -> np.ndarray:
@@ -188,7 +289,7 @@ def _verify(candidates: DataFrame, texts: DataFrame, width: int, threshold: floa
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 20, depth: int = 6, target: float = 0.9995, block: int = 2048, seed: int = 5
+    docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 20, depth: int = 6, target: float = 0.9995, block: int = 256, seed: int = 5
 ) -> DataFrame:
     """(doc_id, class_id, n_links, kept) for each row of ``docs`` (doc_id, text).
 
@@ -196,16 +297,14 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     prepare(spark)
-    prefix = matched_prefix(threshold, trees, depth, target)
+    least = least_prefix(threshold, trees, depth, target)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = materialize(_buckets(texts, width, trees, depth, prefix, seed), "buckets")
+    keyed = materialize(_signed(texts, width, trees, depth, seed), "signatures")
     members = keyed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     # a class is known by its set, as ids can have several texts; the smallest id is for the output
-    classes = materialize(members.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("key")), "classes")
-    own = members.join(classes.select("key", "rep", "node"), "key").where("doc_id = rep").select("node", F.posexplode("buckets").alias("tree", "bucket"))
-    least = own.groupBy("tree", "bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("tree", "bucket", "head")
-    near = own.join(least, ["tree", "bucket"]).where("node <> head").select("node", "head").distinct()
-    groups = connected_components(near, "node", "head").withColumnRenamed("component", "group")
+    classes = materialize(
+        members.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("hashes").alias("hashes")).withColumn("node", F.xxhash64("key")), "classes")
+    groups = connected_components(grouped(classes, trees, depth, least, block), "node", "root").withColumnRenamed("component", "group")
     sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
     candidates = materialize(
         classes.join(groups, "node").join(sizes, "group")

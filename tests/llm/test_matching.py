@@ -57,13 +57,61 @@ def test_shingle_join(spark):
     assert {i: (r.class_id, r.n_links, r.kept) for i, r in got.items()} == {i: (group[i], count[i], group[i] == i) for i in sets}
 
 
+def test_descent_unites_what_looks_alike():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**16, (6, 120)).astype(np.uint16)
+    hashes = np.repeat(base, 5, axis=0)
+    for row in hashes:  # near ones differ in up to a tenth of their hashes, none in the first five
+        row[rng.integers(5, 120, int(rng.integers(0, 12)))] += 1
+    hashes[:, :5] = base[0, :5]  # one node of the trie holds all six families
+    order = np.lexsort(hashes[:, 5::-1].T)
+    root = shingle_join.descend(hashes[order][:, :6], hashes[order], 5)
+    family = (np.arange(30) // 5)[order]
+    assert all((root[i] == root[j]) == (family[i] == family[j]) for i in range(30) for j in range(30))
+    assert shingle_join.common_prefix(np.array([[1, 2, 3], [1, 2, 4], [1, 5, 4], [1, 5, 4]])).tolist() == [0, 2, 1, 3]
+
+
+def test_sorted_neighbours_share_prefixes(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(0, 3, 12).astype(">u2").tobytes()) for i in range(400)]
+    classes = spark.createDataFrame(rows, "node long, hashes binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = Counter((r.tree, r.node) for r in shingle_join.neighbours(classes, 3, 4, 3).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = Counter()
+    for t in range(3):
+        seen = defaultdict(list)
+        for i, h in rows:
+            seen[h[8 * t : 8 * t + 6]].append(i)
+        want.update((t, i) for v in seen.values() if len(v) > 1 for i in v)
+    assert got == want
+
+
+def test_shingle_join_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in shingle_join.near_duplicates(docs).collect()}
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    holders, links = defaultdict(list), set()
+    for i, s in sorted(sets.items()):
+        met = Counter(j for x in s for j in holders[x])
+        links |= {(j, i) for j, n in met.items() if n / (len(s) + len(sets[j]) - n) >= 0.8}
+        for x in s:
+            holders[x].append(i)
+    count, group = Counter(x for l in links for x in l), groups(sets, links)
+    assert len(links) > 50 and sum(r.n_links for r in got.values()) >= 0.99 * 2 * len(links)
+    assert all(r.n_links <= count[i] for i, r in got.items())
+    assert np.mean([r.class_id == group[i] for i, r in got.items()]) >= 0.99
+
+
 def test_shingle_join_edges(spark):
     rows = [(None, "a b c d e f"), (3, "A b c d e f"), (4, "a b  c d e f"), (4, "a b c d e f"), (1, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, shingle_join.near_duplicates(docs).collect()), key=repr)
     assert got == sorted([(None, None, 0, True), (3, 3, 2, True), (4, 3, 2, False), (4, 3, 2, False), (1, 1, 0, True)], key=repr)
     assert shingle_join.near_duplicates(docs.limit(0)).count() == 0
-    assert shingle_join.matched_prefix(0.8, 20, 6, 0.9995) == 5 and shingle_join.matched_prefix(0.8, 1, 6, 0.9999) == 1
+    assert shingle_join.least_prefix(0.8, 20, 6, 0.9995) == 5 and shingle_join.least_prefix(0.8, 1, 6, 0.9999) == 1
 
 
 def test_one_id_with_two_texts(spark):
