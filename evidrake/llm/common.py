@@ -69,14 +69,14 @@ def extended(df: DataFrame, more: str) -> StructType:
     return StructType([*[f for f in df.schema.fields if f.name.lower() not in taken], *new.fields])
 
 
-def keep_rows(df: DataFrame, column: str, test: Callable[[list], list[bool]]) -> DataFrame:
-    """Rows for whose ``column`` the test holds, batch by batch; other columns are passed on untouched."""
+def keep_rows(df: DataFrame, columns: list[str], test: Callable[[dict], list[bool]]) -> DataFrame:
+    """Rows for which the test of ``columns`` (a dict of lists) holds, batch by batch; all columns are passed on untouched."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.filter(pa.array(test(b.column(column).to_pylist()), pa.bool_()))
+                yield b.filter(pa.array(test({c: b.column(c).to_pylist() for c in columns}), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -141,20 +141,29 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", meta
     return fit([(np.frombuffer(r["idx"], "<i4").astype(np.int64), np.frombuffer(r["val"], "<f4").astype(float), np.array(r["stats"])) for r in rows], np.array([r["target"] for r in rows], float))
 
 
+def scores(machine: Machine, c: dict, metadata: tuple[str, ...]) -> list[float]:
+    """Of the texts and the metadata columns of a batch."""
+    features, meta = Features(), list(metadata)
+    return [machine.score(*features(t, _meta(c, meta, k))) for k, t in enumerate(c["text"])]
+
+
+def known_metadata(documents: DataFrame) -> tuple[str, ...]:
+    """The metadata columns that ``documents`` has; the number of characters is the one that is used."""
+    return tuple(c for c in ("n_chars",) if c in documents.columns)
+
+
 def score(documents: DataFrame, machine: Machine, threshold: float = 0.3, metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
     """documents with score and predicted; columns of these names are replaced."""
-    schema = extended(documents, "score double, predicted int")
-    meta = list(metadata)
 
     def run(c: dict) -> dict:
-        features = Features()
-        got = [machine.score(*features(t, _meta(c, meta, k))) for k, t in enumerate(c["text"])]
+        got = scores(machine, c, metadata)
         return c | {"score": got, "predicted": [int(x >= threshold) for x in got]}
 
-    return map_rows(documents, run, schema)
+    return map_rows(documents, run, extended(documents, "score double, predicted int"))
 
 
 def query(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    machine = train(documents, labels)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_chars")
-    return score(docs, machine).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    meta = known_metadata(documents)
+    machine = train(documents, labels, metadata=meta)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *meta)
+    return score(docs, machine, metadata=meta).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -40,6 +40,7 @@ def test_odd_rows(spark, module):
     got = module.query(docs, none).collect()
     assert len(got) == 6 and len({r.score for r in got}) == 1
     assert module.query(docs.limit(0), none.limit(0)).count() == 0
+    assert module.query(docs.drop("n_chars"), none).count() == 6
     model = module.train(docs, none)
     assert "Score" not in module.score(docs, model).columns and module.score(docs, model).count() == 6
 
