@@ -20,14 +20,14 @@ BROADCAST_IDS = 1_000_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    machine = quality.train(docs, table(spark, sf_dir, "labels"), metadata=())
-    features = quality.Features()
-    return keep_rows(docs, "text", lambda texts: [machine.score(*features(t, [])) >= 0.3 for t in texts])
+    meta = quality.known_metadata(docs)
+    machine = quality.train(docs, table(spark, sf_dir, "labels"), metadata=meta)
+    return keep_rows(docs, ["text", *meta], lambda c: [x >= 0.3 for x in quality.scores(machine, c, meta)])
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return keep_rows(docs, "text", lambda texts: [model.score(t)[0] < 0.5 for t in texts])
+    return keep_rows(docs, ["text"], lambda c: [model.score(t)[0] < 0.5 for t in c["text"]])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
