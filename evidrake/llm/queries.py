@@ -83,4 +83,29 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM q""",
+    "op10_merkle": """
+        WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS t FROM documents),
+        o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, t) AS place, length(t) AS n, length(t) // 4 AS q FROM d),
+        f AS (SELECT o.*, coalesce(lead(t) OVER (ORDER BY place), first_value(t) OVER (ORDER BY place)) AS following FROM o),
+        texts AS (SELECT place, doc_id, n, 'own' AS side, t AS txt FROM f
+                  UNION ALL SELECT place, doc_id, n, 'edited', substring(t, 1, n - q) || substring(following, 1, q) FROM f),
+        leaves AS (SELECT *, list_transform(string_split(txt, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+                     lambda p: list_transform(regexp_extract_all(p, '[^.!?]{1,24}[.!?]*|[.!?]+'), lambda x: sha256(x)))) AS tree FROM texts),
+        paragraphs AS (SELECT *, list_transform(tree, lambda s: list_transform(s, lambda p: sha256(list_aggregate(list_append(p, ''), 'string_agg', '')))) AS inner_digests FROM leaves),
+        sections AS (SELECT *, list_transform(inner_digests, lambda s: sha256(list_aggregate(s, 'string_agg', ''))) AS outer_digests FROM paragraphs),
+        prints AS (SELECT *, list_transform(flatten(flatten(tree)), lambda x: x[:6]) AS codes,
+                     sha256(list_aggregate(outer_digests, 'string_agg', '')) || ':' ||
+                     list_aggregate(list_transform(outer_digests, lambda s, i: s[:12] || '/' || list_aggregate(list_transform(inner_digests[i],
+                       lambda p, k: p[:12] || '.' || list_aggregate(list_append(list_transform(tree[i][k], lambda x: x[:6]), ''), 'string_agg', '')), 'string_agg', ',')), 'string_agg', ';')
+                     AS print FROM sections),
+        own AS (SELECT *, coalesce(lead(codes) OVER (ORDER BY place), first_value(codes) OVER (ORDER BY place)) AS next_codes FROM prints WHERE side = 'own'),
+        pairs AS (SELECT own.place, own.doc_id, own.n, own.print, own.codes AS a, own.next_codes, e.print AS edited_print, e.codes AS edited_codes, e.txt
+                  FROM own JOIN prints e ON e.place = own.place AND e.side = 'edited'),
+        sides AS (SELECT place, 'edited' AS side, a, edited_codes AS b FROM pairs UNION ALL SELECT place, 'next', a, next_codes FROM pairs),
+        alike AS (SELECT place, side, CASE WHEN greatest(len(a), len(b)) = 0 THEN 1.0::DOUBLE ELSE greatest(
+                    len(list_intersect(list_distinct(a), list_distinct(b)))::DOUBLE / greatest(len(list_distinct(a)), len(list_distinct(b)), 1),
+                    len(list_filter(list_zip(a, b), lambda x: x[1] = x[2]))::DOUBLE / greatest(len(a), len(b), 1)) END AS near FROM sides)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(txt) AS edited_sha256, print AS fingerprint, edited_print AS edited_fingerprint,
+               x.near AS near_edited, y.near AS near_next
+        FROM pairs JOIN alike x ON x.place = pairs.place AND x.side = 'edited' JOIN alike y ON y.place = pairs.place AND y.side = 'next'""",
 }

@@ -1,6 +1,7 @@
 """Near-duplicates, fingerprints: brute force on small tables."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -163,16 +164,68 @@ def test_merkle(spark):
         q = len(t) // 4
         want.append((i, len(t), hashlib.sha256((t[: len(t) - q] + order[(k + 1) % len(order)][1][:q]).encode()).hexdigest()))
     assert got == sorted(want, key=repr)
-    prints = defaultdict(set)
-    texts = dict(order)
-    for r in merkle.query(docs).collect():
-        if r.doc_id not in (8, None):
-            prints[texts[r.doc_id]].add(r.fingerprint)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert all(len(p) == 1 for p in prints.values()) and len({min(p) for p in prints.values()}) == len(prints)
     assert merkle.query(docs.limit(0)).count() == 0
+    texts, prints = [t for _, t in order], {}
+    for r in merkle.query(docs).collect():
+        places = [k for k, (i, t) in enumerate(order) if i == r.doc_id and len(t) == r.n_chars and merkle_print(t) == r.fingerprint]
+        assert places, r
+        near = {likeness_of(merkle_print(texts[k]), merkle_print(texts[(k + 1) % len(texts)])) for k in places}
+        edited = {texts[k][: len(texts[k]) - len(texts[k]) // 4] + texts[(k + 1) % len(texts)][: len(texts[k]) // 4] for k in places}
+        assert r.near_next in near and r.edited_fingerprint in {merkle_print(e) for e in edited}
+        assert r.near_edited == likeness_of(r.fingerprint, r.edited_fingerprint)
+        prints.setdefault(r.fingerprint, set()).update(texts[k] for k in places)
+    assert all(len(t) == 1 for t in prints.values()) and len(prints) == len(set(texts))
+
+
+def merkle_print(text):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    roots, shown = [], []
+    for section in text.split("\n\n"):
+        paragraphs = [[sha(x) for x in re.findall(r"[^.!?]{1,24}[.!?]*|[.!?]+", p)] for p in section.split("\n")]
+        digests = [sha("".join(p)) for p in paragraphs]
+        roots.append(sha("".join(digests)))
+        shown.append(roots[-1][:12] + "/" + ",".join(d[:12] + "." + "".join(x[:6] for x in p) for d, p in zip(digests, paragraphs, strict=True)))
+    return sha("".join(roots)) + ":" + ";".join(shown)
+
+
+def likeness_of(a, b):
+    a, b = ([x[i : i + 6] for p in s.split(":")[1].replace(";", ",").split(",") for x in [p.split(".")[1]] for i in range(0, len(x), 6)] for s in (a, b))
+    if not a and not b:
+        return 1.0
+    common = len(set(a) & set(b)) / max(len(set(a)), len(set(b)), 1)
+    return max(common, sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b), 1))
+
+
+def test_merkle_branches(spark):
     from pyspark.sql import functions as F
 
-    pair = spark.createDataFrame([("one.\ntwo.\nthree.", "one.\n2.\nthree.")], "a string, b string")
-    a, b = (merkle.fingerprint(merkle.leaf_digests(F.col(c))) for c in "ab")
-    assert pair.select(merkle.differing_paragraphs(a, b).alias("d"), merkle.differing_paragraphs(a, a).alias("e")).first() == ([1], [])
+    cases = [
+        ("one.\ntwo.\nthree.", "one.\n2.\nthree.", [("removed", 0, 1), ("inserted", 0, 1)]),
+        ("one.\ntwo.", "one.\nnew.\ntwo.", [("inserted", 0, 1)]),
+        ("one.\ntwo.", "two.\none.", [("moved", 0, 0), ("moved", 0, 1)]),
+        ("one.\none.", "one.", [("removed", 0, 1)]),
+        ("a\n\nb\n\nc", "c\n\nb\n\na", [("moved", 0, None), ("moved", 2, None)]),
+        ("a\n\nb\nc", "a\n\nb\n\nc", [("regrouped", 2, 0)]),
+        ("same\n\ntext", "same\n\ntext", []),
+        ("", "", []),
+        ("", "x", [("removed", 0, 0), ("inserted", 0, 0)]),
+        (None, "x", None),
+    ]
+    rng = np.random.default_rng(4)
+    for _ in range(60):  # unequal texts always differ somewhere, equal ones nowhere
+        a, b = ("".join(rng.choice(["x", "y", "\n", "\n\n", "."], int(rng.integers(0, 8)))) for _ in range(2))
+        cases.append((a, b, [] if a == b else ...))
+    pair = spark.createDataFrame([(k, a, b, 1) for k, (a, b, _) in enumerate(cases)], "k int, a string, b string, edits int").drop("edits")
+    prints = pair.select("k", *[F.when(F.col(c).isNotNull(), merkle.fingerprint(merkle.tree(F.col(c)))).alias(c) for c in "ab"])
+    for r in merkle.differing_branches(prints, "a", "b").collect():
+        want = cases[r.k][2]
+        got = None if r.edits is None else [tuple(e) for e in r.edits]
+        assert got and want is ... or got == want, (cases[r.k], got)
+
+
+def test_merkle_ranges(spark):
+    docs = spark.createDataFrame([(i * 3, "x" * (i % 7)) for i in range(500)], "doc_id long, text string")
+    dealt = merkle.with_next(docs, 4, range_bytes=100)
+    rows = dealt.selectExpr("spark_partition_id() p", "bucket", "ghost", "doc_id").collect()
+    assert all(r.p == r.bucket for r in rows) and len({r.p for r in rows}) >= 12
+    assert sorted(r.doc_id for r in rows if not r.ghost) == [i * 3 for i in range(500)]
