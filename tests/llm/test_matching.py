@@ -139,7 +139,7 @@ def test_embeddings(spark):
     table = spark.createDataFrame([(*r, 1) for r in rows + odd], schema)
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     links = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.93]
-    for options in ({}, {"leaf": 30, "block": 16, "trees": 10}):
+    for options in ({}, {"leaf": 30, "bundle": 60, "block": 16, "trees": 10}, {"leaf": 12, "trees": 10}):
         got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, **options).collect()}
         assert all(got[i].n_links == 0 and got[i].kept for i, _, _ in odd)
         found = sum(got[i].n_links for i, _, _ in rows) / 2
@@ -152,6 +152,22 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_with_splits(spark):
+    """Vectors near the threshold, in several subtrees and many leaves, by the defaults."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(3000, 32))
+    x = np.concatenate([base, base + rng.normal(scale=0.35, size=base.shape)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist(), "en") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    pairs = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1)), strict=True)}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
+    count = Counter(v for p in pairs for v in p)
+    assert len(pairs) > 1000 and sum(r.n_links for r in got.values()) >= 0.98 * 2 * len(pairs)
+    assert all(r.n_links <= count[i] for i, r in got.items())
+    huge = spark.createDataFrame([(1, [1e200, 1e200], "a"), (2, [1e-200, 1e-200], "a"), (3, [1.0, -1.0], "a")], "vec_id long, embedding array<double>, label string")
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(huge).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_merkle(spark):
     rng = np.random.default_rng(2)
     words = ["alpha", "beta.", "gamma!", "delta", "\n", "\n\n", "é", "😀"]
