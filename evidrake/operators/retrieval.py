@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from ..functions import lexicon as L
 from ..functions.text import tokens
 from .index import postings
 
+#: Questions, put to every scope, that are broadcast at once, and the bytes of their texts.
+QUESTIONS_AT_ONCE, QUESTION_BYTES = 4096, 8 << 20
+
 
 def whole_k(k: float) -> int:
     """Not finite or not positive: nothing is retrieved."""
@@ -38,15 +42,26 @@ def scores(posts: DataFrame, questions: DataFrame, asked: DataFrame | None, keys
 
 
 def retrieve(
-    chunks: DataFrame, questions: DataFrame, asks: DataFrame | None, k: float = L.TOP_K, posts: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",)
-) -> DataFrame:
+    chunks: DataFrame, questions: DataFrame, asks: DataFrame | None, k: float = L.TOP_K, posts: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",),
+    at_once: int = QUESTIONS_AT_ONCE,
+) -> DataFrame:
     """(question_id, keys, rank, chunk_index, score, text); chunks that share no term stay candidates with a score of 0.
 
-    ``asks``: (question_id, keys), or None where a bounded list of questions (broadcast) is put to every scope. Only
-    terms of the questions meet the postings, and only the winners meet the texts: of the chunks without a shared term
-    no more than the first k of a scope can win.
+    ``asks``: (question_id, keys), or None where every question is put to every scope: they are counted, and more than
+    ``at_once`` of them (or long ones) go in blocks of about that many, each of which is broadcast. Only terms of the questions meet the
+    postings, and only the winners meet the texts: of the chunks without a shared term no more than the first k of a
+    scope can win.
     """
     posts = postings(chunks, keys) if posts is None else posts
+    if asks is not None:
+        return _retrieve(chunks, questions, asks, k, posts, keys)
+    size = questions.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("question")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size.n // at_once), -(-size.bytes // QUESTION_BYTES))
+    block = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_retrieve(chunks, questions.where(block == b) if blocks > 1 else questions, None, k, posts, keys) for b in range(blocks)])
+
+
+def _retrieve(chunks: DataFrame, questions: DataFrame, asks: DataFrame | None, k: float, posts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     asked = None if asks is None else asks.select("question_id", *keys).distinct()
     first = Window.partitionBy(*keys).orderBy("chunk_index")
     heads = chunks.select(*keys, "chunk_index").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= whole_k(k)).drop("_n")

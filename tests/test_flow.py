@@ -36,6 +36,15 @@ def test_retrieval_ties_and_zero_scores(spark):
         assert retrieve(chunks, questions, asks, k).count() == 0
 
 
+def test_questions_of_every_scope(spark):
+    chunks = spark.createDataFrame([(1, 0, "Alpha topic"), (2, 0, "Beta topic")], "doc_id int, chunk_index int, text string")
+    questions = spark.createDataFrame([("a", "unknown term"), ("b", "alpha"), (None, "beta"), ("d", None)], "question_id string, question string")
+    whole = sorted(map(tuple, retrieve(chunks, questions, None, 1).collect()), key=repr)
+    assert len(whole) == 8
+    assert sorted(map(tuple, retrieve(chunks, questions, None, 1, at_once=1).collect()), key=repr) == whole
+    assert retrieve(chunks, questions.limit(0), None).count() == 0
+
+
 def test_special_supports(spark):
     got = {(r.question_id, r.doc_id): r for r in catalog.answer_notes(spark, "").collect()}
     assert got["n1", 1].answer.startswith("No. No data breach occurred")
@@ -99,6 +108,8 @@ def test_every_benchmark_item_of_every_document(spark):
     assert got.select("question_id", "doc_id").distinct().count() == asks.count()
     want = retrieve(made, items, asks, 5).select("question_id", "doc_id", "rank", "chunk_index", F.round("score", 6).alias("score"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    blocks = retrieve(made, items, None, 5, at_once=-(-items.count() // 3)).select(*want.columns[:4], F.round("score", 6).alias("score"))
+    assert got.exceptAll(blocks).count() == 0 and blocks.exceptAll(got).count() == 0
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
