@@ -113,7 +113,8 @@ def test_personal_data(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in pii.query(docs).collect():
         base = plain(texts[r.doc_id])
-        assert r.base_sha256 == hashlib.sha256(pii.line(base).encode()).hexdigest() and r.n_email == sum(k == "email" for k, _, _ in base)
+        assert r.base_sha256 == hashlib.sha256(pii.line(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in ("email", "ip", "card", "phone")]
         assert set(pii.line(base).split(",")) - {""} <= set(r.spans.split(","))
 
 
