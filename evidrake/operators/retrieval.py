@@ -41,6 +41,13 @@ def scores(posts: DataFrame, questions: DataFrame, asked: DataFrame | None, keys
     return dots.select("question_id", *keys, "chunk_index", F.coalesce(F.try_divide("dot", F.col("q_norm") * F.col("norm")), F.lit(0.0)).alias("score"))
 
 
+def question_blocks(questions: DataFrame, key: str, at_once: int = QUESTIONS_AT_ONCE) -> list[DataFrame]:
+    """``questions`` (``key``, question) in blocks that may be broadcast: one, or as many as their number and bytes ask for."""
+    size = questions.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("question")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size.n // at_once), -(-size.bytes // QUESTION_BYTES))
+    return [questions.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else questions for b in range(blocks)]
+
+
 def retrieve(
     chunks: DataFrame, questions: DataFrame, asks: DataFrame | None, k: float = L.TOP_K, posts: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",),
     at_once: int = QUESTIONS_AT_ONCE,
@@ -48,17 +55,14 @@ def retrieve(
     """(question_id, keys, rank, chunk_index, score, text); chunks that share no term stay candidates with a score of 0.
 
     ``asks``: (question_id, keys), or None where every question is put to every scope: they are counted, and more than
-    ``at_once`` of them (or long ones) go in blocks of about that many, each of which is broadcast. Only terms of the questions meet the
-    postings, and only the winners meet the texts: of the chunks without a shared term no more than the first k of a
-    scope can win.
+    ``at_once`` of them (or long ones) go in blocks of about that many, each of which is broadcast. Only terms of the
+    questions meet the postings, and only the winners meet the texts: of the chunks without a shared term no more than
+    the first k of a scope can win.
     """
     posts = postings(chunks, keys) if posts is None else posts
     if asks is not None:
         return _retrieve(chunks, questions, asks, k, posts, keys)
-    size = questions.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("question")), F.lit(0)).alias("bytes")).first()
-    blocks = max(1, -(-size.n // at_once), -(-size.bytes // QUESTION_BYTES))
-    block = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [_retrieve(chunks, questions.where(block == b) if blocks > 1 else questions, None, k, posts, keys) for b in range(blocks)])
+    return reduce(DataFrame.unionByName, [_retrieve(chunks, q, None, k, posts, keys) for q in question_blocks(questions, "question_id", at_once)])
 
 
 def _retrieve(chunks: DataFrame, questions: DataFrame, asks: DataFrame | None, k: float, posts: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..operators import gate as G
 from ..operators import index as I
 from ..operators import provider
 from ..operators.chunking import chunk_documents
-from ..operators.retrieval import retrieve
+from ..operators.retrieval import question_blocks, retrieve
 from ..sources import requests
 from ..sources.files import spread, table
 from . import sql as S
@@ -380,7 +381,8 @@ def _long_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """The cases over the notes, and one for each benchmark item that a document holds verbatim: its first sentence is the evidence."""
     cases, notes = _cases(spark)
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    held = documents(spark, sf_dir).join(F.broadcast(items), F.col("text").contains(F.col("question")))
+    docs = documents(spark, sf_dir)
+    held = reduce(DataFrame.unionByName, [docs.join(F.broadcast(q), F.col("text").contains(F.col("question"))) for q in question_blocks(items, "item_id")])
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     more = held.select(F.concat(F.lit("b"), F.col("item_id").cast("string"), name).alias("id"), name.alias("document"), "question", F.lit(True).alias("answerable"), F.get(T.evidence_sentences(F.col("question")), F.lit(0)).alias("expected_evidence"))
     return cases.unionByName(more), notes.unionByName(held.select(name.alias("document"), "text").distinct())
