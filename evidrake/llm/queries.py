@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_codec, embedding_dedup, merkle, packing, pii, quality, shingle_join, token_files, toxicity, warc
+from . import alignment, byte_codec, divergence, embedding_dedup, merkle, packing, pii, quality, sharding, shingle_join, token_files, toxicity, warc
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -55,11 +56,24 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.query(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.query(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.query(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality, op2_token_files, op3_byte_codec, op4_toxicity, op5_shingle_join,
         op6_packing, op7_pii, op8_embedding_dedup, op9_warc, op10_merkle,
+        op11_divergence, op12_sharding, op13_alignment,
     )
 }
 
@@ -108,4 +122,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(txt) AS edited_sha256, print AS fingerprint, edited_print AS edited_fingerprint,
                x.near AS near_edited, y.near AS near_next
         FROM pairs JOIN alike x ON x.place = pairs.place AND x.side = 'edited' JOIN alike y ON y.place = pairs.place AND y.side = 'next'""",
+    "op11_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        each_term AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+        lists AS (SELECT lang, term FROM each_term GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM each_term JOIN lists USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        sizes AS (SELECT lang, count(*) AS v FROM lists GROUP BY lang),
+        totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+        lang_counts AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL),
+        lang_totals AS (SELECT lang, sum(n) AS total FROM lang_counts GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n,
+                1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * v) AS p
+              FROM groups g JOIN lists l USING (lang) JOIN sizes USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c USING (lang, source, term)),
+        q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (total + 2 * v) AS q FROM lang_counts JOIN lang_totals USING (lang) JOIN sizes USING (lang)),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+                 FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+                  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        terms AS (SELECT lang, source, term AS item, CAST((p.p - q) * (p.p - q) // (p.p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p.p > q)
+        SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pairs
+        UNION ALL SELECT lang, source, 'term', item, value, CAST(rank AS INT)
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms) WHERE rank <= 10""",
 }
