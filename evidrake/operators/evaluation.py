@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..sources.store import materialize
 from .answer import answer
 from .chunking import chunk_documents, clamp
-from .gate import assessed_pairs, decide
+from .gate import assessed_pairs, decide, rounded
 from .index import build_index, index_chunks
 
 
@@ -85,10 +85,65 @@ def metrics(done: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def critical() -> Column:
+    """The highest coverage threshold at which an assessed pair is answered: null for none, infinite for a special support."""
+    special = F.col("negative").isNotNull() | F.col("instruction").isNotNull()
+    standard = F.when(F.col("key_present"), rounded(F.coalesce("best.coverage", F.lit(0.0))))
+    return F.when(F.col("relevant"), F.when(special, F.lit(float("inf"))).otherwise(standard))
+
+
+def threshold_counts(assessed: DataFrame) -> DataFrame:
+    """(critical, answerable, holds, n): how many cases change at each coverage, and whether their answers hold the evidence.
+
+    A case is answered at every threshold up to its critical one, always with the same answer, so each is answered once.
+    """
+    done = answer(decide(assessed.withColumn("critical", critical()), 0.0))
+    e = F.col("expected_evidence")
+    holds = F.coalesce(F.col("is_answerable") & (e != "") & F.col("answer").contains(e) & F.col("critical").isNotNull(), F.lit(False))
+    return done.select("critical", F.col("is_answerable").alias("answerable"), holds.alias("holds")).groupBy("critical", "answerable", "holds").agg(F.count("*").alias("n"))
+
+
 def coverage_sweep(assessed: DataFrame, thresholds: tuple[float, ...] = L.COVERAGE_GRID) -> DataFrame:
-    """Metrics for each threshold; coverage does not depend on it, so everything before the decision is done once."""
-    spread = assessed.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    return metrics(outcomes(spread, F.col("threshold")), ("threshold",)).select("threshold", "abstention_recall", "over_refusal_rate", "overall_accuracy")
+    """(threshold, abstention_recall, over_refusal_rate, overall_accuracy) for each threshold, from the counts of all cases."""
+    return _swept(threshold_counts(assessed).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))))
+
+
+def _swept(counts: DataFrame) -> DataFrame:
+    yes, n = F.col("answerable"), F.col("n")
+    off = ~F.coalesce(F.col("critical") >= rounded(F.col("threshold")), F.lit(False))
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    return counts.groupBy("threshold").agg(
+        ratio(total(~yes & off), total(~yes)).alias("abstention_recall"), ratio(total(yes & off), total(yes)).alias("over_refusal_rate"),
+        ratio(total(F.when(yes, ~off & F.col("holds")).otherwise(off)), F.sum(n)).alias("overall_accuracy"))
+
+
+#: Parts of the range of coverage whose running sums are taken apart, so that no task has all values.
+CURVE_PARTS = 1000
+
+
+def threshold_curve(assessed: DataFrame) -> DataFrame:
+    """The sweep at every coverage at which some case changes: (threshold, abstention_recall, over_refusal_rate, overall_accuracy).
+
+    Between two neighbouring thresholds nothing changes, so the best row is the best threshold there is. Differences at
+    each value are summed from the highest down: over the parts of the range, and within each part.
+    """
+    counts = threshold_counts(assessed)
+    yes, n = F.col("answerable"), F.col("n")
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    # every value is a threshold; those above 1 (always answered) count in all of them, those without (never) stand below all
+    at = F.when(F.col("critical").isNull(), -1.0).otherwise(F.least(F.col("critical"), F.lit(1.0)))
+    step = counts.groupBy(at.alias("threshold")).agg(total(yes).alias("y"), total(~yes).alias("w"), total(F.col("holds")).alias("h"))
+    step = step.withColumn("part", F.floor(F.col("threshold") * CURVE_PARTS).cast("int"))
+    parts = step.groupBy("part").agg(*(F.sum(c).alias(c) for c in "ywh"))
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # at most CURVE_PARTS + 2 rows
+    parts = parts.select(
+        "part", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c + "_above") for c in "ywh"),
+        F.sum("y").over(Window.partitionBy()).alias("yes"), F.sum("w").over(Window.partitionBy()).alias("no"))
+    within = Window.partitionBy("part").orderBy(F.desc("threshold"))
+    run = step.join(parts, "part").select("threshold", "yes", "no", *((F.sum(c).over(within) + F.col(c + "_above")).alias(c) for c in "ywh"))
+    return run.where("threshold >= 0").select(
+        "threshold", ratio(F.col("no") - F.col("w"), F.col("no")).alias("abstention_recall"), ratio(F.col("yes") - F.col("y"), F.col("yes")).alias("over_refusal_rate"),
+        ratio(F.col("h") + F.col("no") - F.col("w"), F.col("yes") + F.col("no")).alias("overall_accuracy"))
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def rounded(x: Column) -> Column:
 
 def gather(retrieved: DataFrame, questions: DataFrame, asks: DataFrame, posts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(question_id, keys, question, results, weights, unseen); pairs without chunks have an empty array."""
-    results = retrieved.groupBy("question_id", *keys).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_index", "score", "text"))).alias("results"))
+    parts = F.struct("rank", "chunk_index", "score", "text", *(["stems"] if "stems" in retrieved.columns else []))
+    results = retrieved.groupBy("question_id", *keys).agg(F.array_sort(F.collect_list(parts)).alias("results"))
     # the largest weight of the scope matters only beside a known stem: without one every share is 0
     known = stem_weights(posts, keys).withColumn("top", F.max("weight").over(Window.partitionBy(*keys)))
     stems = content_stems(F.col("question"))
@@ -46,7 +47,7 @@ def gather(retrieved: DataFrame, questions: DataFrame, asks: DataFrame, posts: D
     found = found.groupBy("question_id", *keys).agg(F.map_from_entries(F.collect_list(F.struct("stem", "weight"))).alias("weights"), F.greatest(F.lit(1.0), F.first("top")).alias("unseen"))
     rows = asks.select("question_id", *keys).distinct().join(questions.select("question_id", "question"), "question_id")
     rows = rows.join(results, ["question_id", *keys], "left").join(found, ["question_id", *keys], "left")
-    empty = F.array().cast("array<struct<rank:int,chunk_index:int,score:double,text:string>>")
+    empty = F.array().cast(results.schema["results"].dataType)
     return rows.select(
         "question_id", *keys, "question", F.coalesce("results", empty).alias("results"),
         F.coalesce("weights", F.create_map().cast("map<string,double>")).alias("weights"), F.coalesce("unseen", F.lit(1.0)).alias("unseen"),
@@ -104,7 +105,8 @@ def instruction_support() -> Column:
 def assess(pairs: DataFrame) -> DataFrame:
     """pairs with the signals and supports that a decision needs, whatever its threshold."""
     terms = pairs.withColumn("terms", F.array_distinct(content_stems(F.col("question"))))
-    passages = terms.withColumn("passages", F.transform("results", lambda r: F.array_distinct(content_stems(r.text))))
+    stored = "stems" in pairs.schema["results"].dataType.elementType.names
+    passages = terms.withColumn("passages", F.transform("results", lambda r: r.stems if stored else F.array_distinct(content_stems(r.text))))
     judged = passages.withColumn("covered", F.transform("passages", lambda p: coverage(F.col("terms"), p)))
     judged = judged.withColumn("best", F.array_min(F.transform("covered", lambda c, i: F.struct((-rounded(c)).alias("order"), (i + 1).alias("rank"), c.alias("coverage")))))
     key = F.array_min(F.transform("terms", lambda s, i: F.struct((-rounded(weight_of(s))).alias("order"), i.alias("at"), s.alias("stem"))))

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import stem, tokens
+from ..functions.text import content_stems, stem, tokens
 from ..sources.store import materialize
 from .chunking import chunk_documents
 
 
 @dataclass
 class Index:
-    """Stored chunks and postings, read by every later step and by any number of questions."""
+    """Stored chunks (with their stems) and postings, read by every later step and by any number of questions."""
 
     chunks: DataFrame
     postings: DataFrame
@@ -31,7 +31,8 @@ def build_index(docs: DataFrame, target: float = L.TARGET_CHARS, overlap: float
 
 
 def index_chunks(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Index:
-    kept = materialize(chunks, "chunks")
+    """The index of chunks, which are stored with their distinct stems in order: every question on a chunk reads them."""
+    kept = materialize(chunks.withColumn("stems", F.array_sort(F.array_distinct(content_stems(F.col("text"))))), "chunks")
     return Index(kept, materialize(postings(kept, keys), "postings"), keys)
 
 

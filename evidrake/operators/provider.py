@@ -1,13 +1,20 @@
 """Optional answers of an external provider: prompts, an injected caller, and strict validation of what it returns.
 
-No network code is here: the caller is a function of prompts, run in Arrow batches, and off by default.
+No network code is here: the caller is a function of prompts, run in Arrow batches with a deadline for each call, and off by
+default.
 """
 
 from __future__ import annotations
 
+import hashlib
+import queue
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -32,22 +39,87 @@ def prompts(decided: DataFrame) -> DataFrame:
     return decided.withColumn("prompt", F.when(F.col("answerable"), body))
 
 
-def call(prompted: DataFrame, caller: Callable[[str, str], str | None]) -> DataFrame:
-    """prompted with raw: ``caller(rules, prompt)``, null where it fails. Other columns are passed on as they are."""
+#: Seconds that a call may take (fixed value), calls that a task has open at once, and abandoned ones that it tolerates.
+DEADLINE, AT_ONCE, MOST_HANGING = 15.0, 8, 64
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(p: str | None) -> str | None:
+
+def call(
+    prompted: DataFrame, caller: Callable[[str, str], str | None], deadline: float = DEADLINE, at_once: int = AT_ONCE, store: str | None = None,
+) -> DataFrame:
+    """prompted with raw: ``caller(rules, prompt)``, null where it fails or takes longer than ``deadline`` seconds.
+
+    A task has up to ``at_once`` calls open, and goes on without those that hang; after MOST_HANGING of them it asks no more.
+    With ``store`` (a folder that all executors share) an answer is kept by the digest of its prompt, so that
+    a task that runs again, or another run, asks only what has no answer yet. Other columns are passed on as they are.
+    """
+    rules, most = RULES, MOST_HANGING
+
+    def key(prompt: str) -> str:
+        return hashlib.sha256(f"{rules}\0{prompt}".encode()).hexdigest()
+
+    def known(prompt: str) -> str | None:
+        system, path = fs.FileSystem.from_uri(store)
+        name = key(prompt)
+        try:
+            with system.open_input_stream(f"{path}/{name[:2]}/{name}") as f:
+                return f.read().decode()
+        except OSError:
+            return None
+
+    def keep(prompt: str, raw: str) -> None:
+        system, path = fs.FileSystem.from_uri(store)
+        name = key(prompt)
+        private = f"{path}/{name[:2]}/_{name}.{uuid.uuid4().hex}"
+        system.create_dir(f"{path}/{name[:2]}", recursive=True)
+        with system.open_output_stream(private) as f:
+            f.write(raw.encode())
+        system.move(private, f"{path}/{name[:2]}/{name}")
+
+    def ask(prompts: list[str], hanging: list[int]) -> dict[str, str | None]:
+        """Answers to distinct prompts, by threads that nothing waits for at the end."""
+        out: dict[str, str | None] = {}
+        done: queue.SimpleQueue = queue.SimpleQueue()
+        todo, open_calls = list(reversed(prompts)), {}
+
+        def one(prompt: str) -> None:
             try:
-                return None if p is None else caller(RULES, p)
+                done.put((prompt, caller(rules, prompt)))
             except Exception:  # any failure of a provider falls back to the extractive answer
-                return None
+                done.put((prompt, None))
+
+        while todo or open_calls:
+            while todo and len(open_calls) < at_once:
+                prompt = todo.pop()
+                if hanging[0] >= most:
+                    continue
+                open_calls[prompt] = time.monotonic() + deadline
+                threading.Thread(target=one, args=(prompt,), daemon=True).start()
+            try:
+                prompt, raw = done.get(timeout=max(0.0, min(open_calls.values(), default=0.0) - time.monotonic()))
+                if open_calls.pop(prompt, None) is not None and isinstance(raw, str):
+                    out[prompt] = raw
+            except queue.Empty:
+                late = [p for p, end in open_calls.items() if end <= time.monotonic()]
+                hanging[0] += len(late)
+                for p in late:
+                    del open_calls[p]
+        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hanging = [0]
         for b in batches:
-            raw = pa.array([one(p) for p in b.column("prompt").to_pylist()], pa.string())
+            prompts = b.column("prompt").to_pylist()
+            new = list(dict.fromkeys(p for p in prompts if p is not None))
+            kept = {p: raw for p in new if (raw := known(p)) is not None} if store else {}
+            got = ask([p for p in new if p not in kept], hanging)
+            if store:
+                for p, raw in got.items():
+                    keep(p, raw)
+            raw = pa.array([None if p is None else kept.get(p, got.get(p)) for p in prompts], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, raw], names=[*b.schema.names, "raw"])
 
-    kept = prompted.drop("raw")
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("raw", StringType())]))
+    rest = prompted.drop("raw")
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField("raw", StringType())]))
 
 
 def validated(raw: Column, allowed: Column) -> tuple[Column, Column, Column]:

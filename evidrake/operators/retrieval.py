@@ -52,7 +52,9 @@ def retrieve(
     chunks: DataFrame, questions: DataFrame, asks: DataFrame | None, k: float = L.TOP_K, posts: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",),
     at_once: int = QUESTIONS_AT_ONCE,
 ) -> DataFrame:
-    """(question_id, keys, rank, chunk_index, score, text); chunks that share no term stay candidates with a score of 0.
+    """(question_id, keys, rank, chunk_index, score, text, and stems where chunks have them).
+
+    Chunks that share no term stay candidates with a score of 0.
 
     ``asks``: (question_id, keys), or None where every question is put to every scope: they are counted, and more than
     ``at_once`` of them (or long ones) go in blocks of about that many, each of which is broadcast. Only terms of the
@@ -74,5 +76,6 @@ def _retrieve(chunks: DataFrame, questions: DataFrame, asks: DataFrame | None, k
     merged = both.repartition("question_id", *keys).groupBy("question_id", *keys, "chunk_index").agg(F.max("score").alias("score"))
     order = Window.partitionBy("question_id", *keys).orderBy(F.round("score", L.PLACES).desc(), "chunk_index")
     ranked = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= whole_k(k))
-    texts = chunks.select(*keys, "chunk_index", "text")
-    return ranked.join(texts, [*keys, "chunk_index"]).select("question_id", *keys, "rank", "chunk_index", "score", "text")
+    stored = ["text", *(c for c in ("stems",) if c in chunks.columns)]
+    texts = chunks.select(*keys, "chunk_index", *stored)
+    return ranked.join(texts, [*keys, "chunk_index"]).select("question_id", *keys, "rank", "chunk_index", "score", *stored)

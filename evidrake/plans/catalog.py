@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import answer as A
+from ..operators import corpus as C
 from ..operators import evaluation as E
 from ..operators import gate as G
 from ..operators import index as I
 from ..operators import provider
 from ..operators.chunking import chunk_documents
-from ..operators.retrieval import question_blocks, retrieve
+from ..operators.containment import containment
+from ..operators.retrieval import retrieve
 from ..sources import requests
 from ..sources.files import spread, table
+from ..sources.store import materialize
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,10 +47,6 @@ NOTES = (
     (5, "Travel is booked by the office. Managers approve hotel stays. Trains are preferred."),
     (6, "Opens 10 A.M. daily. Closed later, i.e. at night. Tickets cost $5 each. Refunds take 3 days."),
 )
-NOTE_QUESTIONS = (
-    ("n1", "Did the company suffer a data breach?"), ("n2", "According to the note, was the service interrupted by the storm?"), ("n3", "What does the quoted message say to ignore?"),
-    ("n4", "What did the team record?"), ("n5", "How long is the response time?"), ("n6", "Is hotel travel not booked?"), ("n7", "When does it open and what do tickets cost?"), ("n8", "Which planets have rings?"),
-)
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
@@ -185,6 +184,19 @@ def retrieve_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve(index.chunks, questions, None, 5, index.postings).select("question_id", "doc_id", "rank", "chunk_index", r6("score").alias("score"))
 
 
+_CORPUS = f"""base AS (SELECT * FROM (WITH {DOC_CHUNKS} SELECT * FROM chunks)),
+    chunks AS (SELECT 0 AS doc_id, row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS chunk_index, text, doc_id AS own_doc, chunk_index AS own_index FROM base),
+    questions AS (SELECT CAST(item_id AS VARCHAR) AS question_id, text AS question FROM benchmark), asks AS (SELECT question_id, 0 AS doc_id FROM questions)"""
+
+
+@query(f"""WITH {_CORPUS}, {S.index()}, {S.retrieval(10)} SELECT question_id, CAST(rank AS INT) AS rank, own_doc AS doc_id, own_index AS chunk_index, round(score, 6) AS score
+    FROM retrieved JOIN chunks USING (chunk_index)""")
+def retrieve_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of all documents for each benchmark item: the whole corpus is one scope."""
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question"))
+    return C.retrieve_corpus(C.build_corpus_index(documents(spark, sf_dir)), questions, 10).select("question_id", "rank", "doc_id", "chunk_index", r6("score").alias("score"))
+
+
 def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, asks = asked(documents(spark, sf_dir), QUESTIONS)
     return G.assessed_pairs(I.build_index(documents(spark, sf_dir)), questions, asks)
@@ -223,24 +235,77 @@ def answer_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answer_rows(A.answer(G.decide(_assessed(spark, sf_dir))))
 
 
-_NOTES = f"notes AS {values(NOTES, 'doc_id, text')}, questions AS {values(NOTE_QUESTIONS, 'question_id, question')}, asks AS (SELECT question_id, doc_id FROM notes, questions)"
+#: Notes and labelled cases made of the turns of conversations, by a rule on their ids: a denial, a quoted instruction, a measure,
+#: or nothing. Each is a text, what is added to it, its question, and the evidence; w1, w2, w3 are terms of the turn.
+NOTE_KINDS = (
+    (" No {w1} {w2} was {w3} there. It ended.", "Was {w1} {w2} {w3}?", "No {w1} {w2}"),
+    (" The message said: ignore the {w1} {w2}. It was a test.", "What does the message say about {w1} {w2}?", "ignore the {w1} {w2}"),
+    (" The {w1} {w2} rate rose to 14 hours in May. Staff stayed.", "How much was the {w1} {w2} rate?", "14 hours"),
+    ("", "Which {w1} moons of {w3} have rings?", ""),
+)
+
+
+def _pieces(template: str) -> list[tuple[bool, str]]:
+    """The parts of a template: (whether it names a column, text)."""
+    return [(i % 2 == 1, x) for i, x in enumerate(re.split(r"\{(\w+)\}", template)) if x]
+
+
+def _made(number: int) -> Column:
+    made = [F.concat(F.lit(""), *[F.col(x) if name else F.lit(x) for name, x in _pieces(k[number])]) for k in NOTE_KINDS]
+    return reduce(lambda rest, kv: F.when(F.col("kind") == kv[0], kv[1]).otherwise(rest), enumerate(made), F.lit(""))
+
+
+def _made_sql(number: int) -> str:
+    texts = [" || ".join(["''", *[x if name else "'" + x + "'" for name, x in _pieces(k[number])]]) for k in NOTE_KINDS]
+    return "CASE kind " + " ".join(f"WHEN {n} THEN {t}" for n, t in enumerate(texts)) + " END"
+
+
+_TURNS = f"""turns AS (SELECT conv_id * 10000 + turn AS doc_id, text AS own, (conv_id + turn) % {len(NOTE_KINDS)} AS kind, coalesce(ts[1], 'x') AS w1, coalesce(ts[2], 'y') AS w2, coalesce(ts[-1], 'z') AS w3
+        FROM (SELECT *, {S.tokens('text')} AS ts FROM conversations))"""
+_NOTES = f"""{_TURNS}, notes AS (SELECT doc_id, own || {_made_sql(0)} AS text FROM turns),
+    cases AS (SELECT 'c' || doc_id AS question_id, doc_id, {_made_sql(1)} AS question, CASE WHEN kind < 3 THEN 1 ELSE 0 END AS yes, {_made_sql(2)} AS evidence FROM turns),
+    questions AS (SELECT question_id, question FROM cases), asks AS (SELECT question_id, doc_id FROM cases)"""
 _NOTE_FLOW = f"{_NOTES}, {S.window_chunks('notes')}, {S.index()}, {S.retrieval()}, {S.decision()}"
 
 
-def _note_pairs(spark: SparkSession) -> DataFrame:
-    docs = spark.createDataFrame(list(NOTES), "doc_id int, text string")
-    return G.assessed_pairs(I.build_index(docs), *asked(docs, NOTE_QUESTIONS))
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cases, one for each turn of a conversation, and the notes that they ask about."""
+    turns = spread(table(spark, sf_dir, "conversations")).withColumn("ts", T.tokens(F.col("text")))
+    word = lambda i, other: F.coalesce(F.try_element_at("ts", F.lit(i)), F.lit(other))
+    rows = turns.select((F.col("conv_id") * 10000 + F.col("turn")).cast("string").alias("document"), F.col("text").alias("own"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(NOTE_KINDS))).alias("kind"),
+                        word(1, "x").alias("w1"), word(2, "y").alias("w2"), word(-1, "z").alias("w3"))
+    cases = rows.select(F.concat(F.lit("c"), F.col("document")).alias("id"), "document", _made(1).alias("question"), (F.col("kind") < 3).alias("answerable"), F.nullif(_made(2), F.lit("")).alias("expected_evidence"))
+    return cases, rows.select("document", F.concat("own", _made(0)).alias("text"))
+
+
+def _assessed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.assessed_cases(*_cases(spark, sf_dir)).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @query(f"WITH {_NOTE_FLOW} SELECT {_DECISION} FROM decisions")
 def special_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decision_rows(G.decide(_note_pairs(spark)))
+    """Decisions on notes with denials, quoted instructions and measures."""
+    return _decision_rows(G.decide(_assessed_notes(spark, sf_dir)))
 
 
 @query(f"WITH {_NOTE_FLOW}, {S.answers()} SELECT {_ANSWER}, answer FROM answered")
 def answer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = A.answer(G.decide(_note_pairs(spark)))
-    return _answer_rows(done).join(done.select("question_id", "doc_id", "answer"), ["question_id", "doc_id"])
+    done = A.answer(G.decide(_assessed_notes(spark, sf_dir))).withColumn("shown", F.col("answer"))
+    return done.select("question_id", "doc_id", "reason", F.md5("answer").alias("answer_md5"), F.length("answer").cast("long").alias("answer_chars"), F.array_join("cited_chunk_ids", ",").alias("cited"), r6("confidence").alias("confidence"), "answer")
+
+
+_AROUND = "array_to_string(ss[greatest(i - 1, 1) : i + l], ' ')"
+
+
+@query(f"""WITH {_NOTE_FLOW.replace(S.decision(), S.decision(0.0))}, {S.answers()},
+    around AS (SELECT question_id, doc_id, {_AROUND} AS span FROM (SELECT w.*, c.ss, row_number() OVER (PARTITION BY w.question_id, w.doc_id ORDER BY round(weight, {S.P}) DESC, w.l DESC, length(w.span), w.i) AS r
+               FROM weighed w JOIN to_cut c USING (question_id, doc_id)) WHERE r = 1 AND round(weight, {S.P}) > 0)
+    SELECT question_id, doc_id, md5(coalesce(a.span, {S.trim('c.text')})) AS span_md5 FROM to_cut c LEFT JOIN around a USING (question_id, doc_id)""")
+def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short answers with one sentence of context on both sides."""
+    rows = G.decide(_assessed_notes(spark, sf_dir), 0.0).withColumn("passage", F.get("results", F.col("selected_rank") - 1).text)
+    short = rows.where(F.col("answerable") & F.col("support_span").isNull() & T.wants_compact(F.col("question"), F.col("passage")))
+    return short.select("question_id", "doc_id", F.md5(A.answer_span(F.col("question"), F.col("passage"), 1)).alias("span_md5"))
 
 
 @query(f"WITH {_FLOW}, {S.answers()} SELECT question_id, doc_id, cited, string_agg('chunk_' || r.chunk_index || '=' || printf('%.3f', r.score), ' ' ORDER BY r.rank) AS retrieved, (SELECT count(*) FROM chunks c WHERE c.doc_id = a.doc_id) AS chunk_count FROM answered a JOIN retrieved r USING (question_id, doc_id) GROUP BY question_id, doc_id, cited")
@@ -260,36 +325,67 @@ def provider_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("question_id", "doc_id", F.md5("prompt").alias("prompt_md5"))
 
 
-#: Raw provider outputs for the ids c1 and c2, and what is wrong with each (null: nothing).
-OUTPUTS = (
-    ('{"answer":" Yes. ","cited_chunk_ids":["c1","c2","c1"]}', None), ('```json\n{"answer":"A","cited_chunk_ids":["c2"]}\n```', None), ("", "not valid JSON"), ("no", "not valid JSON"), ("[]", "not a JSON object"),
-    ("null", "not a JSON object"), ("{}", "answer is not a text"), ('{"answer":"  ","cited_chunk_ids":["c1"]}', "answer is not a text"), ('{"answer":1,"cited_chunk_ids":["c1"]}', "answer is not a text"),
-    ('{"answer":"A"}', "citations are not texts"), ('{"answer":"A","cited_chunk_ids":[]}', "citations are not texts"), ('{"answer":"A","cited_chunk_ids":[1]}', "citations are not texts"),
-    ('{"answer":"A","cited_chunk_ids":["c1",null]}', "citations are not texts"), ('{"answer":"A","cited_chunk_ids":["c9"]}', "a citation is not available"), ('{"answer":"A","cited_chunk_ids":["c1"],"x":1}', "unknown fields"),
+def _by_kind(number: int) -> Column:
+    """Which of ``number`` kinds a turn of a conversation is, by its ids."""
+    return F.pmod(F.col("conv_id") + F.col("turn"), F.lit(number))
+
+
+#: What is wrong with the provider outputs made of turns, by kind (null: nothing); the ids c1 and c2 may be cited.
+OUTPUT_ERRORS = (
+    None, None, "not valid JSON", "not valid JSON", "not a JSON object", "not a JSON object", "answer is not a text", "answer is not a text", "answer is not a text",
+    "citations are not texts", "citations are not texts", "citations are not texts", "citations are not texts", "a citation is not available", "unknown fields",
 )
 
 
-def _literal(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+def _outputs(text: Column) -> list[Column]:
+    """Raw provider outputs of each kind, with ``text`` as the answer."""
+    said = lambda answer, ids, *more: F.to_json(F.struct(answer.alias("answer"), ids.alias("cited_chunk_ids"), *more))
+    ids = lambda *x: F.array(*map(F.lit, x))
+    whole = said(F.concat(F.lit("  "), text, F.lit("\n")), ids("c2", "c1", "c2"))
+    return [
+        whole, F.concat(F.lit("```json\n"), said(text, ids("c1")), F.lit("\n```")), F.left(whole, F.length(whole) - 1), text, F.to_json(F.array(text)), F.lit("null"),
+        F.to_json(F.struct(ids("c1").alias("cited_chunk_ids"))), said(F.lit(" \t"), ids("c1")), said(F.length(text), ids("c1")), F.to_json(F.struct(text.alias("answer"))), said(text, ids().cast("array<string>")),
+        said(text, F.array(F.lit(1))), F.concat(F.lit('{"cited_chunk_ids":["c1",null],'), F.substring(F.to_json(F.struct(text.alias("answer"))), 2, 1 << 30)), said(text, ids("c1", "c3")), said(text, ids("c1"), F.lit(1).alias("x")),
+    ]
+
+
+def chosen(kind: Column, columns: list[Column]) -> Column:
+    return reduce(lambda rest, kv: F.when(kind == kv[0], kv[1]).otherwise(rest), enumerate(columns), F.lit(None).cast("string"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_literal(e)})" for i, (_, e) in enumerate(OUTPUTS)) + ") v(id, error)")
+@query(f"""WITH t AS (SELECT conv_id, turn, (conv_id + turn) % {len(OUTPUT_ERRORS)} AS kind, {S.trim("text")} AS body FROM conversations)
+    SELECT conv_id, turn, CASE WHEN kind = 3 OR body <> '' THEN CASE kind {" ".join(f"WHEN {n} THEN '{e}'" for n, e in enumerate(OUTPUT_ERRORS) if e)} END ELSE 'answer is not a text' END AS error,
+           CASE WHEN kind < 2 AND body <> '' THEN md5(body) END AS answer_md5, CASE WHEN body <> '' THEN CASE kind WHEN 0 THEN 'c2,c1' WHEN 1 THEN 'c1' END END AS cited FROM t""")
 def provider_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(OUTPUTS)], "id int, raw string")
-    return raw.select("id", provider.validated(F.col("raw"), F.array(F.lit("c1"), F.lit("c2")))[0].alias("error"))
+    """Provider outputs with each turn's text as the answer, of all kinds of right and wrong shapes."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", chosen(_by_kind(len(OUTPUT_ERRORS)), _outputs(F.col("text"))).alias("raw"))
+    error, text, ids = provider.validated(F.col("raw"), F.array(F.lit("c1"), F.lit("c2")))
+    return turns.select("conv_id", "turn", error.alias("error"), F.md5(text).alias("answer_md5"), F.array_join(ids, ",").alias("cited"))
 
 
-#: Request bodies with the status of each.
-BODIES = (
-    (json.dumps({"documentText": " text ", "question": "why?"}), 200), ("{", 400), ("[]", 400), ("null", 400), ('"x"', 400), ("{}", 400), (json.dumps({"documentText": " ", "question": "q"}), 400),
-    (json.dumps({"documentText": 5, "question": "q"}), 400), (json.dumps({"documentText": "d", "question": True}), 400), (json.dumps({"documentText": "d" * 200_001, "question": "q"}), 413),
-    (json.dumps({"documentText": "d" * 200_000, "question": "q" * 2_000}), 200), (json.dumps({"documentText": "d", "question": "q" * 2_001}), 413), (json.dumps({"documentText": "d" * 200_001, "question": ""}), 400),
-)
+#: The status of request bodies made of turns, by kind.
+BODY_STATUS = (200, 400, 400, 400, 400, 400, 400, 400, 413, 413, 400, 400, 200, 413)
+
+
+def _bodies(text: Column, role: Column) -> list[Column]:
+    """Request bodies of each kind, with ``text`` as the document and ``role`` as the question."""
+    body = lambda d, q, *more: F.to_json(F.struct(d.alias("documentText"), q.alias("question"), *more))
+    grown = lambda x, n: F.repeat(x, F.ceil(F.lit(n + 1) / F.greatest(F.length(T.trim(x)), F.lit(1))).cast("int") + 1)
+    whole, blank = body(text, role), F.lit(" \n")
+    return [
+        whole, F.to_json(F.struct(text.alias("documentText"))), body(text, blank), F.to_json(F.array(text)), F.concat(F.lit('"'), role, F.lit('"')), F.left(whole, F.length(whole) - 1), body(F.length(text), role),
+        body(text, F.lit(True)), body(grown(text, L.DOCUMENT_LIMIT), role), body(text, grown(role, L.QUESTION_LIMIT)), F.lit("null"), body(blank, grown(role, L.QUESTION_LIMIT)), body(F.concat(blank, text, blank), role, F.lit(1).alias("more")),
+        body(grown(text, L.DOCUMENT_LIMIT), grown(role, L.QUESTION_LIMIT)),
+    ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {s})" for i, (_, s) in enumerate(BODIES)) + ") v(id, status)")
+@query(f"""WITH t AS (SELECT conv_id, turn, (conv_id + turn) % {len(BODY_STATUS)} AS kind, coalesce({S.trim("text")}, '') AS d, coalesce({S.trim("role")}, '') AS q FROM conversations),
+    s AS (SELECT *, CASE WHEN d = '' OR q = '' THEN 400 ELSE CASE kind {" ".join(f"WHEN {n} THEN {x}" for n, x in enumerate(BODY_STATUS))} END END AS status FROM t)
+    SELECT conv_id, turn, status, CASE WHEN status = 200 THEN md5(d || '|' || q) END AS request_md5 FROM s""")
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.parse(spark.createDataFrame([(i, b) for i, (b, _) in enumerate(BODIES)], "id int, body string")).select("id", "status")
+    """JSON bodies with each turn's text as the document, of all kinds of right and wrong shapes and sizes."""
+    bodies = table(spark, sf_dir, "conversations").select("conv_id", "turn", chosen(_by_kind(len(BODY_STATUS)), _bodies(F.col("text"), F.col("role"))).alias("body"))
+    return requests.parse(bodies).select("conv_id", "turn", "status", F.when(F.col("status") == 200, F.md5(F.concat("document_text", F.lit("|"), "question"))).alias("request_md5"))
 
 
 @query(rf"""WITH t AS (SELECT conv_id, turn, coalesce({S.trim("text")}, '') AS d, coalesce({S.trim("role")}, '') AS q FROM conversations)
@@ -299,29 +395,16 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.validate(rows).select("conv_id", "turn", "status", F.length(F.coalesce("document_text", F.lit(""))).cast("long").alias("chars"))
 
 
-#: Labelled cases over the notes.
-CASES = (
-    ("c1", 1, "Did the company suffer a data breach?", True, "No data breach occurred"), ("c2", 2, "Was the service interrupted by the storm?", True, "was not interrupted"), ("c3", 3, "What does the quoted message say to ignore?", True, "ignore the policy"),
-    ("c4", 4, "How long is the response time?", True, "14 hours"), ("c5", 5, "Who approves hotel stays?", True, "Managers approve"), ("c6", 6, "How much do tickets cost?", True, "$5 each"), ("c7", 5, "Which planets have rings?", False, ""),
-    ("c8", 4, "What colour is the response form?", False, ""), ("c9", 6, "How many penguins work there?", False, ""),
-)
-_CASES = f"""notes AS {values(NOTES, 'doc_id, text')}, cases AS {values(tuple((a, b, c, int(d), e) for a, b, c, d, e in CASES), 'question_id, doc_id, question, yes, evidence')},
-    questions AS (SELECT question_id, question FROM cases), asks AS (SELECT question_id, doc_id FROM cases)"""
-_CASE_FLOW = f"""{_CASES}, {S.window_chunks('notes')}, {S.index()}, {S.retrieval()}, {S.decision()}, {S.answers()},
+_CASE_FLOW = f"""{_NOTE_FLOW}, {S.answers()},
     outcomes AS (SELECT a.question_id AS id, yes = 1 AS answerable, reason <> 'supported' AS abstained,
         CASE WHEN evidence = '' THEN 0 ELSE coalesce((SELECT min(rank) FROM retrieved r WHERE r.question_id = a.question_id AND contains(r.text, evidence)), 0) END AS evidence_rank,
         yes = 1 AND reason = 'supported' AND evidence <> '' AND contains(answer, evidence) AS answered_with_evidence, round(top_score, 4) AS top_score,
         CASE WHEN reason = 'supported' THEN length(answer) ELSE 0 END AS answer_chars FROM answered a JOIN cases c ON c.question_id = a.question_id)"""
 
 
-def _cases(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    cases = spark.createDataFrame([(a, str(b), c, d, e or None) for a, b, c, d, e in CASES], "id string, document string, question string, answerable boolean, expected_evidence string")
-    return cases, spark.createDataFrame([(str(a), b) for a, b in NOTES], "document string, text string")
-
-
 @query(f"WITH {_CASE_FLOW} SELECT id, answerable, abstained, CAST(evidence_rank AS INT) AS evidence_rank, answered_with_evidence, top_score, CAST(answer_chars AS INT) AS answer_chars, CASE WHEN answerable THEN answered_with_evidence ELSE abstained END AS correct FROM outcomes")
 def eval_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.outcomes(E.assessed_cases(*_cases(spark))).drop("question")
+    return E.outcomes(E.assessed_cases(*_cases(spark, sf_dir))).drop("question")
 
 
 _SHARE = lambda a, b: f"coalesce(round(CAST({a} AS DOUBLE) / nullif({b}, 0), 4), 0)"
@@ -344,7 +427,7 @@ _RIGHT = "n AS (SELECT *, CASE WHEN answerable THEN answered_with_evidence ELSE
 
 @query(f"WITH {_CASE_FLOW}, {_RIGHT} {_metrics_sql('n')}")
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.metrics(E.outcomes(E.assessed_cases(*_cases(spark))))
+    return E.metrics(E.outcomes(E.assessed_cases(*_cases(spark, sf_dir))))
 
 
 _GRID = ", ".join(f"({t})" for t in L.COVERAGE_GRID)
@@ -354,12 +437,14 @@ _SWEPT = f"""swept AS (SELECT threshold, question_id, CASE WHEN NOT relevant THE
 @query(f"WITH {_FLOW}, {_SWEPT} SELECT CAST(threshold AS DOUBLE) AS threshold, count_if(answers) AS answered, count(*) AS pairs FROM swept GROUP BY threshold")
 def coverage_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many question-document pairs are answered at each coverage threshold: one pass for the whole grid."""
-    spread = _assessed(spark, sf_dir).withColumn("threshold", F.explode(F.array(*map(F.lit, L.COVERAGE_GRID))))
-    return G.decide(spread, F.col("threshold")).groupBy("threshold").agg(F.count_if("answerable").alias("answered"), F.count("*").alias("pairs"))
+    pairs = _assessed(spark, sf_dir).groupBy(E.critical().alias("critical")).agg(F.count("*").alias("n"))
+    swept = pairs.withColumn("threshold", F.explode(F.array(*map(F.lit, L.COVERAGE_GRID))))
+    answers = F.coalesce(F.col("critical") >= F.col("threshold"), F.lit(False))
+    return swept.groupBy("threshold").agg(F.sum(F.when(answers, F.col("n")).otherwise(0)).alias("answered"), F.sum("n").alias("pairs"))
 
 
 # at a threshold of 0 every case that some threshold lets through has its answer
-_SWEEP_FLOW = f"""{_CASES}, {S.window_chunks('notes')}, {S.index()}, {S.retrieval()}, {S.decision(0.0)}, {S.answers()}, {_SWEPT},
+_SWEEP_FLOW = f"""{_NOTES}, {S.window_chunks('notes')}, {S.index()}, {S.retrieval()}, {S.decision(0.0)}, {S.answers()}, {_SWEPT},
     n AS (SELECT w.threshold, yes = 1 AS answerable, NOT answers AS abstained,
         CASE WHEN yes = 1 THEN answers AND evidence <> '' AND contains(answer, evidence) ELSE NOT answers END AS correct
         FROM swept w JOIN cases c USING (question_id) JOIN answered a ON a.question_id = w.question_id),
@@ -369,20 +454,53 @@ _SWEEP_FLOW = f"""{_CASES}, {S.window_chunks('notes')}, {S.index()}, {S.retrieva
 
 @query(f"WITH {_SWEEP_FLOW} SELECT * FROM sweep")
 def eval_coverage_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.coverage_sweep(E.assessed_cases(*_cases(spark)))
+    return E.coverage_sweep(E.assessed_cases(*_cases(spark, sf_dir)))
 
 
 @query(f"WITH {_SWEEP_FLOW} SELECT * FROM sweep ORDER BY overall_accuracy DESC, threshold LIMIT 1")
 def eval_best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.best_threshold(E.coverage_sweep(E.assessed_cases(*_cases(spark))))
+    return E.best_threshold(E.coverage_sweep(E.assessed_cases(*_cases(spark, sf_dir))))
+
+
+_CRITICAL = """critical AS (SELECT question_id, CASE WHEN NOT relevant THEN -1 WHEN n_rank IS NOT NULL OR i_rank IS NOT NULL THEN 1 WHEN key_present THEN round(best_coverage, 9) ELSE -1 END AS c FROM joined),
+    each_case AS (SELECT c, yes = 1 AS answerable, yes = 1 AND evidence <> '' AND contains(answer, evidence) AS holds FROM critical JOIN cases USING (question_id) JOIN answered a USING (question_id)),
+    curve AS (SELECT DISTINCT c AS threshold FROM each_case WHERE c >= 0)"""
+
+
+@query(f"""WITH {_SWEEP_FLOW[:_SWEEP_FLOW.index(_SWEPT)]} {_CRITICAL}
+    SELECT CAST(threshold AS DOUBLE) AS threshold, {_SHARE('count_if(NOT answerable AND c < threshold)', 'count_if(NOT answerable)')} AS abstention_recall,
+           {_SHARE('count_if(answerable AND c < threshold)', 'count_if(answerable)')} AS over_refusal_rate,
+           {_SHARE('count_if(CASE WHEN answerable THEN holds AND c >= threshold ELSE c < threshold END)', 'count(*)')} AS overall_accuracy FROM curve, each_case GROUP BY threshold""")
+def eval_threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep at every threshold at which a case changes, not only those of the grid."""
+    return E.threshold_curve(_assessed_notes(spark, sf_dir))
+
+
+#: The notes and cases that the chunking sweep has beside those of the tables.
+CASES = (
+    ("c1", 1, "Did the company suffer a data breach?", True, "No data breach occurred"), ("c2", 2, "Was the service interrupted by the storm?", True, "was not interrupted"), ("c3", 3, "What does the quoted message say to ignore?", True, "ignore the policy"),
+    ("c4", 4, "How long is the response time?", True, "14 hours"), ("c5", 5, "Who approves hotel stays?", True, "Managers approve"), ("c6", 6, "How much do tickets cost?", True, "$5 each"), ("c7", 5, "Which planets have rings?", False, ""),
+    ("c8", 4, "What colour is the response form?", False, ""), ("c9", 6, "How many penguins work there?", False, ""),
+)
+
+
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, doc_id, question, text), stored: the benchmark items that documents hold verbatim."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    return materialize(containment(items, documents(spark, sf_dir), "item_id", "doc_id", "question"), "held")
+
+
+@query("SELECT item_id, doc_id, md5(d.text) AS text_md5 FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item word for word."""
+    return _held(spark, sf_dir).select("item_id", "doc_id", F.md5("text").alias("text_md5"))
 
 
 def _long_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The cases over the notes, and one for each benchmark item that a document holds verbatim: its first sentence is the evidence."""
-    cases, notes = _cases(spark)
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    docs = documents(spark, sf_dir)
-    held = reduce(DataFrame.unionByName, [docs.join(F.broadcast(q), F.col("text").contains(F.col("question"))) for q in question_blocks(items, "item_id")])
+    cases = spark.createDataFrame([(a, str(b), c, d, e or None) for a, b, c, d, e in CASES], "id string, document string, question string, answerable boolean, expected_evidence string")
+    notes = spark.createDataFrame([(str(a), b) for a, b in NOTES], "document string, text string")
+    held = _held(spark, sf_dir)
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     more = held.select(F.concat(F.lit("b"), F.col("item_id").cast("string"), name).alias("id"), name.alias("document"), "question", F.lit(True).alias("answerable"), F.get(T.evidence_sentences(F.col("question")), F.lit(0)).alias("expected_evidence"))
     return cases.unionByName(more), notes.unionByName(held.select(name.alias("document"), "text").distinct())
@@ -411,7 +529,7 @@ def chunk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.chunking_sweep(*_long_cases(spark, sf_dir))
 
 
-#: Limits of a gate: some of them are missed by the cases over the notes.
+#: Limits of a gate: some of them are missed by the cases of the conversations.
 MINIMUMS = {"hit_at_one": 0.5, "overall_accuracy": 0.99, "answer_accuracy": 0.9, "abstention_recall": 0.5}
 MAXIMUMS = {"false_answer_rate": 0.0, "over_refusal_rate": 0.05, "mean_answer_chars": 20.0}
 
@@ -424,11 +542,26 @@ def _gate_sql() -> str:
 
 @query(_gate_sql())
 def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.gate_failures(E.metrics(E.outcomes(E.assessed_cases(*_cases(spark)))), MINIMUMS, MAXIMUMS)
+    return E.gate_failures(E.metrics(E.outcomes(E.assessed_cases(*_cases(spark, sf_dir)))), MINIMUMS, MAXIMUMS)
+
+
+_ITEM_CASES = f"""items AS (SELECT item_id, b.text AS question, CASE item_id % 5 WHEN 0 THEN 25 ELSE 1 END * item_id AS doc, item_id % 5 <> 3 AS answerable,
+        CASE item_id % 5 WHEN 1 THEN '' ELSE {S.sentences('b.text')}[1] END AS evidence FROM benchmark b),
+    held AS (SELECT b.item_id, d.doc_id, d.text, {S.sentences('b.text')}[1] AS evidence FROM documents d, benchmark b WHERE contains(d.text, b.text)),
+    cases AS (SELECT 'i' || item_id AS id, doc, answerable, evidence FROM items UNION ALL SELECT 'b' || item_id || 'd' || doc_id, doc_id, true, evidence FROM held)"""
 
 
-@query("SELECT * FROM (VALUES ('b1', 'unknown document 99'), ('b2', 'answerable without evidence'), ('b3', 'evidence is not in the document'), ('b4', 'not answerable but with evidence')) v(id, problem)")
+@query(f"""WITH {_ITEM_CASES}, p AS (SELECT id, CASE WHEN coalesce(d.text, '') = '' THEN 'unknown document ' || doc WHEN answerable AND coalesce(evidence, '') = '' THEN 'answerable without evidence'
+        WHEN answerable AND NOT contains(d.text, evidence) THEN 'evidence is not in the document' WHEN NOT answerable AND coalesce(evidence, '') <> '' THEN 'not answerable but with evidence' END AS problem
+        FROM cases LEFT JOIN documents d ON d.doc_id = doc) SELECT * FROM p WHERE problem IS NOT NULL""")
 def dataset_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases, notes = _cases(spark)
-    bad = [("b1", "99", "q", True, "x"), ("b2", "1", "q", True, ""), ("b3", "1", "q", True, "absent"), ("b4", "1", "q", False, "No data")]
-    return E.dataset_problems(cases.unionByName(spark.createDataFrame(bad, cases.schema)), notes)
+    """Sound cases (benchmark items and the documents that hold them) and corrupted ones, by a rule on the items' ids."""
+    items = table(spark, sf_dir, "benchmark")
+    kind, first = F.pmod("item_id", F.lit(5)), lambda c: F.get(T.evidence_sentences(F.col(c)), F.lit(0))
+    made = items.select(
+        F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("id"), (F.col("item_id") * F.when(kind == 0, 25).otherwise(1)).cast("string").alias("document"), F.col("text").alias("question"),
+        (kind != 3).alias("answerable"), F.when(kind == 1, "").otherwise(first("text")).alias("expected_evidence"))
+    doc = F.col("doc_id").cast("string")
+    sound = _held(spark, sf_dir).select(F.concat(F.lit("b"), F.col("item_id").cast("string"), F.lit("d"), doc).alias("id"), doc.alias("document"), "question", F.lit(True).alias("answerable"), first("question").alias("expected_evidence"))
+    texts = documents(spark, sf_dir).select(doc.alias("document"), "text")
+    return E.dataset_problems(made.unionByName(sound), texts)

@@ -1,9 +1,11 @@
-"""Labelled golden sets, where a folder has them: every JSON file below it with documents and cases is one."""
+"""Golden sets: our own, always, and published ones where a folder has them (every JSON file with documents and cases is one)."""
 
 import json
 import os
 from pathlib import Path
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from evidrake.operators.chunking import chunk_documents
 from evidrake.operators.index import build_index
 from evidrake.operators.retrieval import retrieve
 from evidrake.operators.answer import answer_without_index
+from evidrake.plans import catalog
+from evidrake.plans import sql as S
 from evidrake.plans.ask import ask
 from evidrake.sources.files import golden_set, text_documents, write_report
 
@@ -42,6 +46,89 @@ def main(spark):
     return _load(spark, 57)
 
 
+OWN = Path(__file__).parent / "golden"
+
+
+@pytest.fixture(scope="module")
+def own(spark):
+    cases, paths = golden_set(spark, str(OWN / "cases.json"))
+    return cases.cache(), text_documents(spark, paths, str(OWN)).cache()
+
+
+def _in_sql(cases, texts, tail):
+    """``tail`` over the outcomes of the cases, by the flow in SQL on the same documents."""
+    c = duckdb.connect()
+    c.register("texts_in", pa.Table.from_pylist([{"doc_id": r.document, "text": r.text} for r in texts.collect()]))
+    rows = [{"question_id": r.id, "doc_id": r.document, "question": r.question, "yes": int(r.answerable), "evidence": r.expected_evidence or ""} for r in cases.collect()]
+    c.register("cases_in", pa.Table.from_pylist(rows))
+    flow = catalog._CASE_FLOW
+    start = flow.index(S.window_chunks("notes"))
+    given = "questions AS (SELECT question_id, question FROM cases_in), asks AS (SELECT question_id, doc_id FROM cases_in), cases AS (SELECT * FROM cases_in)"
+    flow = f"{given}, {S.packed_chunks('texts_in')}{flow[start + len(S.window_chunks('notes')) :]}"
+    return c.execute(f"WITH RECURSIVE {flow}, {catalog._RIGHT} {tail}").fetchall()
+
+
+def test_own_metrics(spark, own, tmp_path):
+    report, done, failed = E.evaluate(*own)
+    row = report.first()
+    got = row.asDict()
+    want = {
+        "total_cases": 39, "answerable_cases": 27, "unanswerable_cases": 12, "hit_at_one": 0.963, "hit_at_three": 1.0, "mrr": 0.9815, "answer_accuracy": 0.8519, "over_refusal_rate": 0.1481,
+        "abstention_recall": 0.8333, "abstention_precision": 0.7143, "false_answer_rate": 0.1667, "overall_accuracy": 0.8462, "mean_answer_chars": 199,
+    }
+    assert want.items() <= got.items()
+    sql = _in_sql(*own, "SELECT id, CAST(evidence_rank AS INT), abstained, answered_with_evidence, top_score, CAST(answer_chars AS INT), correct FROM n")
+    assert sorted(map(tuple, done.select("id", "evidence_rank", "abstained", "answered_with_evidence", "top_score", "answer_chars", "correct").collect())) == sorted(sql)
+    assert tuple(row) == _in_sql(*own, catalog._metrics_sql("n"))[0]
+    text = E.format_report(report, failed)
+    assert len([x for x in text.split("\n") if x.startswith("failed ")]) == failed.count() > 0
+    write_report(report, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().mrr == row.mrr
+
+
+def test_own_gate(own):
+    report = E.metrics(E.outcomes(E.assessed_cases(*own)))
+    row = report.first()
+    assert E.gate_failures(report, {"hit_at_one": row.hit_at_one, "mrr": row.mrr}, {"false_answer_rate": row.false_answer_rate}).count() == 0
+    missed = E.gate_failures(report, {"hit_at_one": 1.1}, {"mean_answer_chars": row.mean_answer_chars - 1}).collect()
+    assert {(r.metric, r.value) for r in missed} == {("hit_at_one", row.hit_at_one), ("mean_answer_chars", float(row.mean_answer_chars))}
+
+
+def test_own_sweeps(own, spark, tmp_path):
+    assessed = E.assessed_cases(*own).cache()
+    sweep = E.coverage_sweep(assessed).cache()
+    rows = {r.threshold: r for r in sweep.collect()}
+    for t in rows:  # counts of all cases equal a run for the threshold
+        at = E.metrics(E.outcomes(assessed, t)).first()
+        assert (at.overall_accuracy, at.abstention_recall, at.over_refusal_rate) == (rows[t].overall_accuracy, rows[t].abstention_recall, rows[t].over_refusal_rate)
+    best = E.best_threshold(sweep).first()
+    assert len(rows) == 14 and best.overall_accuracy == max(r.overall_accuracy for r in rows.values())
+    assert best.threshold == min(t for t, r in rows.items() if r.overall_accuracy == best.overall_accuracy)
+    curve = E.threshold_curve(assessed)
+    assert E.best_threshold(curve).first().overall_accuracy >= max(r.overall_accuracy for t, r in rows.items() if t <= 0.62)
+    assert len(E.format_sweep(sweep).split("\n")) == 15
+    write_report(sweep, str(tmp_path / "sweep"))
+    assert spark.read.json(str(tmp_path / "sweep")).count() == 14
+
+
+def test_own_chunking_sweep(own):
+    sweep = E.chunking_sweep(*own).cache()
+    assert sweep.count() == 20 and E.within_tolerance(sweep, tolerance=0.1).first().ok
+    default = {(r.target_chars, r.overlap_chars): r.overall_accuracy for r in sweep.collect()}[600, 75]
+    assert default == E.metrics(E.outcomes(E.assessed_cases(*own))).first().overall_accuracy
+
+
+def test_own_regressions(spark):
+    cases, paths = golden_set(spark, str(OWN / "regressions.json"))
+    report, done, _ = E.evaluate(cases, text_documents(spark, paths, str(OWN)))
+    assert report.first().overall_accuracy == 1.0 and done.where("correct").count() == 8
+
+
+def test_own_chunks(spark, own):
+    made = chunk_documents(own[1].select(F.col("document").alias("doc_id"), "text")).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in made} == {"ferry": 4, "orchard": 4, "observatory": 4}
+
+
 def test_published_metrics(spark, main, tmp_path):
     report, done, failed = E.evaluate(*main)
     got = report.first().asDict()
