@@ -184,7 +184,7 @@ def gate_failures(report: DataFrame, minimums: dict[str, float], maximums: dict[
 
 
 #: What each metric is called in a report, in the order of its lines.
-_LINES = (
+LINES = (
     ("hit_at_one", "first chunk holds the evidence"), ("hit_at_three", "one of three holds it"), ("mrr", "mean reciprocal rank"), ("answer_accuracy", "answers with the evidence"),
     ("over_refusal_rate", "refused though answerable"), ("abstention_recall", "rightly refused, of those to refuse"), ("abstention_precision", "rightly refused, of the refused"),
     ("false_answer_rate", "answered though not answerable"), ("overall_accuracy", "all cases right"),
@@ -197,7 +197,7 @@ def format_report(report: DataFrame, failed: DataFrame | None = None, most: int
     if row is None:
         return "no cases"
     out = [f"cases {row.total_cases}: {row.answerable_cases} answerable, {row.unanswerable_cases} not"]
-    out += [f"{text:<38} {100 * row[name]:6.1f} %" for name, text in _LINES]
+    out += [f"{text:<38} {100 * row[name]:6.1f} %" for name, text in LINES]
     out.append(f"{'mean characters of an answer':<38} {row.mean_answer_chars:6d}")
     if failed is not None:
         bad = failed.orderBy("id").limit(most + 1).collect()

@@ -32,10 +32,14 @@ def build_index(docs: DataFrame, target: float = L.TARGET_CHARS, overlap: float
 
 def index_chunks(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Index:
     """The index of chunks, which are stored with their distinct stems in order: every question on a chunk reads them."""
-    kept = materialize(chunks.withColumn("stems", F.array_sort(F.array_distinct(content_stems(F.col("text"))))), "chunks")
+    kept = materialize(with_stems(chunks), "chunks")
     return Index(kept, materialize(postings(kept, keys), "postings"), keys)
 
 
+def with_stems(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("stems", F.array_sort(F.array_distinct(content_stems(F.col("text")))))
+
+
 def postings(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, chunk_index, term, tf, n_tokens, n_chunks, df, idf, weight, norm); chunks without tokens have no rows but count.
 

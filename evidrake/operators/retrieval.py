@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import tokens
+from ..sources.store import materialize
 from .index import postings
 
-#: Questions, put to every scope, that are broadcast at once, and the bytes of their texts.
+#: Questions, put to every scope, whose terms may be broadcast, and the bytes of their texts; more are dealt by term.
 QUESTIONS_AT_ONCE, QUESTION_BYTES = 4096, 8 << 20
+#: Postings of a term beyond which it is split where postings are dealt by term.
+HOT_TERM = 1_000_000
 
 
 def whole_k(k: float) -> int:
@@ -28,11 +30,34 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return long.groupBy("question_id", "n", "term").agg((F.count("*") / F.col("n")).alias("share")).drop("n")
 
 
-def scores(posts: DataFrame, questions: DataFrame, asked: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
-    """(question_id, keys, chunk_index, score) of the chunks that share a term with their question."""
+def hot_terms(posts: DataFrame, most: int = HOT_TERM) -> DataFrame:
+    """(term, parts) of the terms with more than ``most`` postings in all scopes: how many parts of that size they have."""
+    counts = posts.groupBy("term").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") > most).select("term", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+
+
+def by_term(found: DataFrame, q: DataFrame, hot: DataFrame) -> DataFrame:
+    """``found`` and the questions' terms ``q`` joined by term, each part of a hot term by itself.
+
+    Only hot terms that are asked for are joined to the postings, so the planner can broadcast them where they are few.
+    """
+    asked = q.join(hot, "term", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    split = hot.join(q.select("term").distinct(), "term", "left_semi")
+    parts = found.join(split, "term", "left").withColumn("part", F.pmod(F.xxhash64(*[c for c in found.columns if c != "term"]), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return parts.join(asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), ["term", "part"]).drop("part")
+
+
+def scores(posts: DataFrame, questions: DataFrame, asked: DataFrame | None, keys: tuple[str, ...], hot: DataFrame | None = None) -> DataFrame:
+    """(question_id, keys, chunk_index, score) of the chunks that share a term with their question.
+
+    Without ``asked`` every scope is meant: the questions' terms are broadcast, or with ``hot`` (:func:`hot_terms`) dealt.
+    """
     q = question_terms(questions)
     found = posts.select(*keys, "term", "chunk_index", "idf", "df", "weight", "norm")
-    met = found.join(F.broadcast(q), "term") if asked is None else asked.join(q, "question_id").join(found, [*keys, "term"])
+    if asked is not None:
+        met = asked.join(q, "question_id").join(found, [*keys, "term"])
+    else:
+        met = found.join(F.broadcast(q), "term") if hot is None else by_term(found, q, hot)
     met = met.withColumn("wq", F.col("share") * F.col("idf"))
     # a term of the question has one row for each of the df chunks that hold it
     length = F.sqrt(F.sum(F.col("wq") * F.col("wq") / F.col("df")).over(Window.partitionBy("question_id", *keys)))
@@ -41,38 +66,35 @@ def scores(posts: DataFrame, questions: DataFrame, asked: DataFrame | None, keys
     return dots.select("question_id", *keys, "chunk_index", F.coalesce(F.try_divide("dot", F.col("q_norm") * F.col("norm")), F.lit(0.0)).alias("score"))
 
 
-def question_blocks(questions: DataFrame, key: str, at_once: int = QUESTIONS_AT_ONCE) -> list[DataFrame]:
-    """``questions`` (``key``, question) in blocks that may be broadcast: one, or as many as their number and bytes ask for."""
+def few(questions: DataFrame, at_once: int = QUESTIONS_AT_ONCE) -> bool:
+    """Whether ``questions`` are few and short enough for their terms to be broadcast."""
     size = questions.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("question")), F.lit(0)).alias("bytes")).first()
-    blocks = max(1, -(-size.n // at_once), -(-size.bytes // QUESTION_BYTES))
-    return [questions.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else questions for b in range(blocks)]
+    return size.n <= at_once and size.bytes <= QUESTION_BYTES
 
 
 def retrieve(
     chunks: DataFrame, questions: DataFrame, asks: DataFrame | None, k: float = L.TOP_K, posts: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",),
-    at_once: int = QUESTIONS_AT_ONCE,
+    at_once: int = QUESTIONS_AT_ONCE, hot: DataFrame | None = None,
 ) -> DataFrame:
     """(question_id, keys, rank, chunk_index, score, text, and stems where chunks have them).
 
-    Chunks that share no term stay candidates with a score of 0.
-
-    ``asks``: (question_id, keys), or None where every question is put to every scope: they are counted, and more than
-    ``at_once`` of them (or long ones) go in blocks of about that many, each of which is broadcast. Only terms of the
-    questions meet the postings, and only the winners meet the texts: of the chunks without a shared term no more than
-    the first k of a scope can win.
+    Chunks that share no term stay candidates with a score of 0. ``asks``: (question_id, keys), or None where every
+    question is put to every scope (k rows for each question and scope come out): the terms of up to ``at_once`` questions are
+    broadcast; those of more are dealt with the postings, which are read once, and terms with many postings are split
+    (``hot``, of the index, or counted here). Only terms of the questions meet the postings, and only the winners meet the texts: of
+    the chunks without a shared term no more than the first k of a scope can win.
     """
     posts = postings(chunks, keys) if posts is None else posts
-    if asks is not None:
-        return _retrieve(chunks, questions, asks, k, posts, keys)
-    return reduce(DataFrame.unionByName, [_retrieve(chunks, q, None, k, posts, keys) for q in question_blocks(questions, "question_id", at_once)])
-
-
-def _retrieve(chunks: DataFrame, questions: DataFrame, asks: DataFrame | None, k: float, posts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    if asks is not None or few(questions, at_once):
+        hot = None
+    elif hot is None:
+        hot = materialize(hot_terms(posts), "hot-terms")
     asked = None if asks is None else asks.select("question_id", *keys).distinct()
     first = Window.partitionBy(*keys).orderBy("chunk_index")
     heads = chunks.select(*keys, "chunk_index").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= whole_k(k)).drop("_n")
-    every = heads.crossJoin(F.broadcast(questions.select("question_id").distinct())) if asked is None else asked.join(heads, list(keys))
-    both = scores(posts, questions, asked, keys).unionByName(every.withColumn("score", F.lit(0.0)))
+    ids = questions.select("question_id").distinct()
+    every = heads.crossJoin(F.broadcast(ids) if hot is None else ids) if asked is None else asked.join(heads, list(keys))
+    both = scores(posts, questions, asked, keys, hot).unionByName(every.withColumn("score", F.lit(0.0)))
     merged = both.repartition("question_id", *keys).groupBy("question_id", *keys, "chunk_index").agg(F.max("score").alias("score"))
     order = Window.partitionBy("question_id", *keys).orderBy(F.round("score", L.PLACES).desc(), "chunk_index")
     ranked = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= whole_k(k))

@@ -21,9 +21,10 @@ from ..operators.chunking import chunk_documents
 from ..operators.containment import containment
 from ..operators.retrieval import retrieve
 from ..sources import requests
-from ..sources.files import spread, table
-from ..sources.store import materialize
+from ..sources.files import spread, table, write_report
+from ..sources.store import materialize, shared_dir
 from . import sql as S
+from .ask import ask
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,6 +295,56 @@ def answer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("question_id", "doc_id", "reason", F.md5("answer").alias("answer_md5"), F.length("answer").cast("long").alias("answer_chars"), F.array_join("cited_chunk_ids", ",").alias("cited"), r6("confidence").alias("confidence"), "answer")
 
 
+@query(f"WITH {_NOTES}, {S.window_chunks('notes')}, {S.index()}, {S.retrieval(1)} {_RETRIEVED}")
+def retrieve_fractional_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A k that is not whole is rounded down; one that is not finite gives nothing."""
+    cases, notes = _cases(spark, sf_dir)
+    index = I.build_index(notes.select(F.col("document").cast("long").alias("doc_id"), "text"))
+    questions = cases.select(F.col("id").alias("question_id"), "question")
+    asks = cases.select(F.col("id").alias("question_id"), F.col("document").cast("long").alias("doc_id"))
+    none = retrieve(index.chunks, questions, asks, float("inf"), index.postings)
+    return retrieve(index.chunks, questions, asks, 1.9, index.postings).unionByName(none).select("question_id", "doc_id", "rank", "chunk_index", r6("score").alias("score"))
+
+
+#: Parameters of chunks that are out of range, and what they count as.
+CLAMPED = ((30, 500, 100, 99), (50.9, -5, 100, 0), (250.7, 20.6, 250, 20), (-1, 0, 100, 0))
+
+
+@query(" UNION ALL ".join(
+    f"SELECT {n} AS config, doc_id, chunk_index, md5(text) AS text_md5 FROM (WITH {S.window_chunks('(SELECT item_id AS doc_id, text FROM benchmark)', t, o)} SELECT * FROM chunks)" for n, (_, _, t, o) in enumerate(CLAMPED)))
+def chunk_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the benchmark items, with targets and overlaps that are out of range."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    made = [chunk_documents(items, a, b).select(F.lit(n).alias("config"), "doc_id", "chunk_index", F.md5("text").alias("text_md5")) for n, (a, b, _, _) in enumerate(CLAMPED)]
+    return reduce(DataFrame.unionByName, made)
+
+
+#: Asks made of the notes, by a rule on their ids: a blank document, one too long, an unknown one, a blank question, one too long, or sound.
+_K7 = "(doc_id // 10000 + 2 * (doc_id % 10000)) % 7"
+_ASKS = f"""{_TURNS}, given AS (SELECT doc_id, {_K7} AS k, 'c' || doc_id AS question_id, own || {_made_sql(0)} AS text, {_made_sql(1)} AS question FROM turns),
+    every_doc AS (SELECT doc_id, {S.trim(f"CASE k WHEN 0 THEN chr(10) WHEN 1 THEN repeat(text, CAST({L.DOCUMENT_LIMIT + 1} // length(text) + 1 AS INT)) ELSE text END")} AS text FROM given),
+    questions AS (SELECT question_id, CASE k WHEN 3 THEN ' ' WHEN 4 THEN repeat(question, CAST({L.QUESTION_LIMIT + 1} // length(question) + 1 AS INT)) ELSE question END AS question FROM given),
+    checked AS (SELECT question_id, doc_id, CASE WHEN d = 0 OR q = 0 THEN 400 WHEN d > {L.DOCUMENT_LIMIT} OR q > {L.QUESTION_LIMIT} THEN 413 ELSE 200 END AS status
+        FROM (SELECT g.question_id, CASE k WHEN 2 THEN -g.doc_id - 1 ELSE g.doc_id END AS doc_id, CASE k WHEN 2 THEN 0 ELSE length(e.text) END AS d, length({S.trim("q.question")}) AS q
+              FROM given g JOIN every_doc e USING (doc_id) JOIN questions q USING (question_id))),
+    asks AS (SELECT question_id, doc_id FROM checked WHERE status = 200), notes AS (SELECT doc_id, text FROM every_doc SEMI JOIN asks USING (doc_id))"""
+
+
+@query(f"""WITH {_ASKS}, {S.window_chunks("notes")}, {S.index()}, {S.retrieval()}, {S.decision()}, {S.answers()}
+    SELECT question_id, doc_id, status, reason, md5(answer) AS answer_md5, cited, (SELECT count(*) FROM chunks x WHERE x.doc_id = c.doc_id) AS chunk_count
+    FROM checked c LEFT JOIN (SELECT question_id, doc_id, reason, answer, cited FROM answered) USING (question_id, doc_id)""")
+def ask_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow on sound and unsound asks."""
+    cases, notes = _cases(spark, sf_dir)
+    key = F.col("document").cast("long")
+    kind = lambda d: F.pmod(F.floor(d / 10000) + 2 * F.pmod(d, F.lit(10000)), F.lit(7))
+    longer = lambda x, n: F.repeat(x, (F.floor(F.lit(n + 1) / F.length(x)) + 1).cast("int"))
+    docs = notes.select(key.alias("doc_id"), F.when(kind(key) == 0, "\n").when(kind(key) == 1, longer(F.col("text"), L.DOCUMENT_LIMIT)).otherwise(F.col("text")).alias("text"))
+    questions = cases.select(F.col("id").alias("question_id"), F.when(kind(key) == 3, " ").when(kind(key) == 4, longer(F.col("question"), L.QUESTION_LIMIT)).otherwise(F.col("question")).alias("question"))
+    done = ask(docs, questions, cases.select(F.col("id").alias("question_id"), F.when(kind(key) == 2, -key - 1).otherwise(key).alias("doc_id")))
+    return done.select("question_id", "doc_id", "status", "reason", F.md5("answer").alias("answer_md5"), F.array_join("cited_chunk_ids", ",").alias("cited"), "chunk_count")
+
+
 _AROUND = "array_to_string(ss[greatest(i - 1, 1) : i + l], ' ')"
 
 
@@ -330,6 +381,32 @@ def _by_kind(number: int) -> Column:
     return F.pmod(F.col("conv_id") + F.col("turn"), F.lit(number))
 
 
+_MADE_OF = "md5(string_agg({0}, chr(10) || chr(10) ORDER BY (r.rank <> d.selected_rank), r.rank) || chr(10) || chr(10) || 'Question: ' || any_value(question))".format(_EXCERPTS)
+
+
+@query(f"""WITH {_NOTE_FLOW}, {S.answers()},
+    asked AS (SELECT question_id, doc_id, {_MADE_OF} AS h, max(CASE WHEN r.rank = d.selected_rank THEN r.score END) AS chosen
+              FROM decisions d JOIN retrieved r USING (question_id, doc_id) JOIN questions USING (question_id) WHERE reason = 'supported' GROUP BY question_id, doc_id)
+    SELECT question_id, doc_id, CASE WHEN h >= 'a' THEN 'generative' ELSE 'extractive' END AS mode, md5(CASE WHEN h >= 'a' THEN 'Made of ' || left(h, 6) ELSE answer END) AS answer_md5, cited,
+           round(CASE WHEN h >= 'a' THEN chosen ELSE top_score END, 6) AS confidence FROM answered LEFT JOIN asked USING (question_id, doc_id)""")
+def provider_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a provider that fails, or answers wrongly, by the digest of what it is asked; else it cites the first excerpt."""
+
+    def caller(rules: str, prompt: str) -> str:
+        import hashlib
+        import json
+
+        h = hashlib.md5(prompt.encode()).hexdigest()
+        if h < "4":
+            raise OSError("no answer")
+        cited = prompt.split('"')[1] if h >= "8" else "chunk_none"
+        return "{" if h < "6" else json.dumps({"answer": f" Made of {h[:6]}\n", "cited_chunk_ids": [cited, cited], **({"more": 1} if h < "a" else {})})
+
+    done = A.answer(G.decide(_assessed_notes(spark, sf_dir)))
+    out = provider.with_fallback(provider.call(provider.prompts(done), caller))
+    return out.select("question_id", "doc_id", "mode", F.md5("answer").alias("answer_md5"), F.array_join("cited_chunk_ids", ",").alias("cited"), r6("confidence").alias("confidence"))
+
+
 #: What is wrong with the provider outputs made of turns, by kind (null: nothing); the ids c1 and c2 may be cited.
 OUTPUT_ERRORS = (
     None, None, "not valid JSON", "not valid JSON", "not a JSON object", "not a JSON object", "answer is not a text", "answer is not a text", "answer is not a text",
@@ -407,6 +484,12 @@ def eval_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.outcomes(E.assessed_cases(*_cases(spark, sf_dir))).drop("question")
 
 
+@query(f"WITH {_CASE_FLOW}, n AS (SELECT *, CASE WHEN answerable THEN answered_with_evidence ELSE abstained END AS correct FROM outcomes) SELECT id, answerable, abstained, CAST(evidence_rank AS INT) AS evidence_rank, top_score, CAST(answer_chars AS INT) AS answer_chars FROM n WHERE NOT correct")
+def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failed cases of a whole evaluation, which first checks that all cases are sound."""
+    return E.evaluate(*_cases(spark, sf_dir))[2].select("id", "answerable", "abstained", "evidence_rank", "top_score", "answer_chars")
+
+
 _SHARE = lambda a, b: f"coalesce(round(CAST({a} AS DOUBLE) / nullif({b}, 0), 4), 0)"
 
 
@@ -430,6 +513,30 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.metrics(E.outcomes(E.assessed_cases(*_cases(spark, sf_dir))))
 
 
+@query(f"WITH {_CASE_FLOW}, {_RIGHT} {_metrics_sql('n')}")
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of an evaluation, written as JSON and read back."""
+    path = shared_dir(spark, "report")
+    report = E.evaluate(*_cases(spark, sf_dir))[0]
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+def _lines_sql() -> str:
+    """The lines of a report with their numbers, from its metrics m."""
+    lines = ["printf('cases %d: %d answerable, %d not', total_cases, answerable_cases, unanswerable_cases)"]
+    lines += [f"printf('%-38s %6.1f %%', '{text}', 100 * {name})" for name, text in E.LINES]
+    lines.append("printf('%-38s %6d', 'mean characters of an answer', mean_answer_chars)")
+    return " UNION ALL ".join(f"SELECT {n} AS n, {x} AS line FROM m" for n, x in enumerate(lines))
+
+
+@query(f"WITH {_CASE_FLOW}, {_RIGHT}, m AS ({_metrics_sql('n')}) {_lines_sql()}")
+def eval_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of an evaluation as the lines that are shown."""
+    lines = E.format_report(E.metrics(E.outcomes(_assessed_notes(spark, sf_dir)))).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
+
+
 _GRID = ", ".join(f"({t})" for t in L.COVERAGE_GRID)
 _SWEPT = f"""swept AS (SELECT threshold, question_id, CASE WHEN NOT relevant THEN false WHEN n_rank IS NOT NULL OR i_rank IS NOT NULL THEN true ELSE round(best_coverage, 9) >= threshold AND key_present END AS answers FROM joined, (VALUES {_GRID}) v(threshold))"""
 
