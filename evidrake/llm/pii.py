@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -328,6 +329,25 @@ def train(documents: DataFrame, made: int = 400) -> Field:
     return model
 
 
+def disjoint(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def meets(starts: list[int], ends: list[int], a: int, b: int) -> bool:
+    """Whether one of the disjoint spans overlaps a to b: the last that starts before b ends last as well."""
+    i = bisect_left(starts, b) - 1
+    return i >= 0 and ends[i] > a
+
+
 def find(text: str | None, model: Field | None, sure: float = 0.9) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans by kind and start."""
     text = text or ""
@@ -335,13 +355,13 @@ def find(text: str | None, model: Field | None, sure: float = 0.9) -> tuple[list
         return [], []
     base = base_spans(text)
     added: list[Span] = []
+    starts, ends = disjoint(base)
     for a, b in windows(text) if model else ():
         if not _LEAST.search(text, a, b):
             continue
-        taken = [(x - a, y - a) for _, x, y in base if x < b and y > a]
         part = text[a:b]
         tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(part)]
-        segs = [s for s in segments(part, tokens) if not any(tokens[s.first][0] < y and tokens[s.last - 1][1] > x for x, y in taken)]
+        segs = [s for s in segments(part, tokens) if not meets(starts, ends, a + tokens[s.first][0], a + tokens[s.last - 1][1])]
         if segs:
             chances = model.chances(len(tokens), segs)
             added += [(KINDS[k], a + tokens[segs[p].first][0], a + tokens[segs[p].last - 1][1]) for p, k in model.best(len(tokens), segs) if chances[p][k] >= sure]
@@ -387,6 +407,7 @@ def annotate(documents: DataFrame, model: Field | None, spans: str = "pii") -> D
         rows = []
         for t in c["text"]:
             base, every = find(t, model)
+            base = set(base)
             rows.append([{"kind": k, "start": a, "end": b, "base": (k, a, b) in base} for k, a, b in every])
         return c | {spans: rows}
 

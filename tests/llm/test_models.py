@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -204,3 +205,63 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, odd.limit(0), FOLDER).count() == 0
         assert stage(spark, odd, FOLDER).count() >= 1
     assert len(QUERIES) == 10
+
+
+def test_long_texts_of_personal_data(spelled):
+    """A log of a megabyte, one window from end to end, is searched in seconds; its parts give the same spans."""
+    lines = [f"10.{i % 250}.{i % 99}.{i % 31} user{i}@corp{i % 7}.example.org called +44 20 7946 {i % 9000 + 1000} via jane dot smith at corp dot org" for i in range(1000)]
+    began = time.process_time()
+    short = "\n".join(lines)
+    base, every = pii.find(short, spelled)
+    once = time.process_time() - began
+    assert [s for s in base if s[0] == "ip"] and len(base) >= 3000 and set(base) <= set(every)
+    began = time.process_time()
+    text = "\n".join([short] * 11)
+    assert len(text) > 1_000_000
+    base, every = pii.find(text, spelled)
+    assert time.process_time() - began < 25 * max(once, 0.5)  # eleven times the text; its square would be 121 times
+    at = len(short) + 1
+    whole = pii.find(short, spelled)[1]
+    for k in (1, 5, 7):
+        assert {(n, a - k * at, b - k * at) for n, a, b in every if k * at <= a < (k + 1) * at - 200} == {s for s in whole if s[1] < len(short) - 199}
+
+
+def test_span_lookups_against_all_spans():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        spans = [("x", int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, 8), rng.integers(1, 15, 8))]
+        starts, ends = pii.disjoint(spans)
+        assert all(e <= s for e, s in zip(ends, starts[1:]))
+        for a in range(0, 75, 3):
+            for b in (a + 1, a + 4, a + 20):
+                assert pii.meets(starts, ends, a, b) == any(a < y and b > x for _, x, y in spans)
+
+
+def test_field_against_all_segmentations():
+    """The chances and the best segmentation of small windows, by adding up every segmentation."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(1, 7))
+        spans = sorted({tuple(sorted(rng.choice(n + 1, 2, replace=False).tolist())) for _ in range(5)})
+        segs = [pii.Segment(a, b, [f"f{i}", "all"]) for i, (a, b) in enumerate(spans)]
+        model = pii.Field({(k, f): float(rng.normal()) for k in pii.KINDS for f in ["all", *(f"f{i}" for i in range(5))]})
+
+        def ways(at, n=n, segs=segs):
+            if at >= n:
+                yield ()
+                return
+            yield from ways(at + 1)
+            for p, s in enumerate(segs):
+                if s.first == at:
+                    for rest in ways(s.last):
+                        for k in range(len(pii.KINDS)):
+                            yield ((p, k), *rest)
+
+        every = list(ways(0))
+        value = [sum(model.scores(segs[p])[k] for p, k in w) for w in every]
+        total = sum(np.exp(value))
+        chances = model.chances(n, segs)
+        for p in range(len(segs)):
+            for k in range(len(pii.KINDS)):
+                assert abs(chances[p][k] - sum(np.exp(v) for v, w in zip(value, every) if (p, k) in w) / total) < 1e-9
+        assert abs(sum(model.scores(segs[p])[k] for p, k in model.best(n, segs)) - max(value)) < 1e-9
