@@ -18,6 +18,7 @@ as copies; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -34,9 +35,14 @@ from .embedding_dedup import unite
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Candidates up to which their list is broadcast (five columns, about 100 bytes each: 10 MB); above it the texts are shuffled.
 BROADCAST_ROWS = 100_000
-#: Share of equal hashes from which two documents of a trie node count as alike, for 120 hashes more than four standard
-#: deviations below a similarity of 0.8 (a pair at the threshold is lost here with a chance of 0.00002).
-ALIKE = 0.65
+#: Standard deviations below the threshold at which the share of equal hashes of two documents still makes them alike (a pair
+#: at the threshold is lost there with a chance of 0.00002).
+DEVIATIONS = 4.1
+
+
+def least_equal(threshold: float, hashes: int) -> int:
+    """How many of the hashes of two documents must be equal for them to count as alike: fewer for a lower threshold."""
+    return max(0, math.floor(hashes * threshold - DEVIATIONS * math.sqrt(hashes * threshold * (1 - threshold))))
 
 
 def least_prefix(threshold: float, trees: int, depth: int, target: float) -> int:
@@ -141,9 +147,8 @@ def neighbours(classes: DataFrame, trees: int, depth: int, least: int) -> DataFr
     return dealt.mapInArrow(walk, dealt.schema)
 
 
-def alike(hashes: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which rows of both have at least the share ALIKE of their hashes equal."""
-    need = ALIKE * hashes.shape[1]
+def alike(hashes: np.ndarray, others: np.ndarray, need: int) -> np.ndarray:
+    """Which rows of both have at least ``need`` of their hashes equal."""
     out = np.zeros((len(hashes), len(others)), bool)
     step = max(1, 4_000_000 // max(1, others.size))
     for at in range(0, len(hashes), step):
@@ -151,7 +156,7 @@ def alike(hashes: np.ndarray, others: np.ndarray) -> np.ndarray:
     return out
 
 
-def descend(labels: np.ndarray, hashes: np.ndarray, least: int) -> np.ndarray:
+def descend(labels: np.ndarray, hashes: np.ndarray, least: int, need: int) -> np.ndarray:
     """For rows of a trie node, sorted by label, the first row of each one's cluster.
 
     From the longest shared prefix to the shortest: rows that a longer one has united are not compared again.
@@ -162,14 +167,14 @@ def descend(labels: np.ndarray, hashes: np.ndarray, least: int) -> np.ndarray:
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(labels)], strict=True):
             if (root[lo:hi] == root[lo]).all():
                 continue
-            links = np.argwhere(alike(hashes[lo:hi], hashes[lo:hi])) + lo
+            links = np.argwhere(alike(hashes[lo:hi], hashes[lo:hi], need)) + lo
             links = links[root[links[:, 0]] < root[links[:, 1]]]
             if len(links):
                 root = unite(len(root), np.concatenate([links, np.stack([root, np.arange(len(root))], 1)]))
     return root
 
 
-def grouped(classes: DataFrame, trees: int, depth: int, least: int, block: int) -> DataFrame:
+def grouped(classes: DataFrame, trees: int, depth: int, least: int, need: int, block: int) -> DataFrame:
     """(node, root): links that unite the documents of a trie node that look alike; spanning ones, not all."""
     spark = classes.sparkSession
     near = materialize(neighbours(classes, trees, depth, least).withColumn("prefix", F.substring("label", 1, 2 * least)), "forest")
@@ -189,11 +194,11 @@ def grouped(classes: DataFrame, trees: int, depth: int, least: int, block: int)
             ids = run.column("node").to_numpy()
             if run.column("b1")[0].as_py() == run.column("b2")[0].as_py():
                 labels = np.frombuffer(b"".join(run.column("label").to_pylist()), ">u2").reshape(len(run), -1)
-                root = descend(labels, hashes, least)
+                root = descend(labels, hashes, least, need)
             else:
                 side = run.column("side").to_numpy()
                 left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                i, j = np.nonzero(alike(hashes[left], hashes[right]))
+                i, j = np.nonzero(alike(hashes[left], hashes[right], need))
                 root = unite(len(run), np.stack([left[i], right[j]], 1))
             moved = np.flatnonzero(root != np.arange(len(run)))
             if len(moved):
@@ -304,7 +309,7 @@ def near_duplicates(
     # a class is known by its set, as ids can have several texts; the smallest id is for the output
     classes = materialize(
         members.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("hashes").alias("hashes")).withColumn("node", F.xxhash64("key")), "classes")
-    groups = connected_components(grouped(classes, trees, depth, least, block), "node", "root").withColumnRenamed("component", "group")
+    groups = connected_components(grouped(classes, trees, depth, least, least_equal(threshold, trees * depth), block), "node", "root").withColumnRenamed("component", "group")
     sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
     candidates = materialize(
         classes.join(groups, "node").join(sizes, "group")

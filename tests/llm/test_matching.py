@@ -1,10 +1,12 @@
 """Near-duplicates, fingerprints: brute force on small tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from evidrake.llm import embedding_dedup, merkle, shingle_join
 from evidrake.llm.components import connected_components
@@ -58,6 +60,23 @@ def test_shingle_join(spark):
     assert {i: (r.class_id, r.n_links, r.kept) for i, r in got.items()} == {i: (group[i], count[i], group[i] == i) for i in sets}
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.7, 0.9])
+def test_recall_at_other_thresholds(spark, threshold):
+    """Planted pairs a little above the threshold, each of other words: all are found."""
+    rng = random.Random(int(threshold * 10))
+    rows, planted = [], 0
+    for i in range(150):
+        words = [f"w{i}x{k}" for k in range(rng.randint(60, 200))]
+        rows.append((2 * i, " ".join(words)))
+        want = rng.uniform(threshold, min(0.99, threshold + 0.08))
+        keep = round(len(words) * 2 * want / (1 + want))
+        rows.append((2 * i + 1, " ".join([*words[:keep], *[f"v{i}x{k}" for k in range(len(words) - keep)]])))
+    sets = {i: shingles(t) for i, t in rows}
+    links = {(2 * i, 2 * i + 1) for i in range(150) if len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) >= threshold}
+    got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).where("n_links = 1").collect()
+    assert len(links) > 100 and {r.doc_id for r in got} == {x for link in links for x in link}
+
+
 def test_descent_unites_what_looks_alike():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**16, (6, 120)).astype(np.uint16)
@@ -66,7 +85,7 @@ def test_descent_unites_what_looks_alike():
         row[rng.integers(5, 120, int(rng.integers(0, 12)))] += 1
     hashes[:, :5] = base[0, :5]  # one node of the trie holds all six families
     order = np.lexsort(hashes[:, 5::-1].T)
-    root = shingle_join.descend(hashes[order][:, :6], hashes[order], 5)
+    root = shingle_join.descend(hashes[order][:, :6], hashes[order], 5, shingle_join.least_equal(0.8, 120))
     family = (np.arange(30) // 5)[order]
     assert all((root[i] == root[j]) == (family[i] == family[j]) for i in range(30) for j in range(30))
     assert shingle_join.common_prefix(np.array([[1, 2, 3], [1, 2, 4], [1, 5, 4], [1, 5, 4]])).tolist() == [0, 2, 1, 3]
