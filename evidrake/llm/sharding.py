@@ -108,22 +108,32 @@ def write_shards(docs: DataFrame, folder: str, shards: int = 8, items: int = ITE
     rows.mapInArrow(place, schema).write.partitionBy("shard").parquet(folder)
 
 
-def read_shards(docs: DataFrame, folder: str) -> DataFrame:
-    """The rows of :func:`write_shards` with shard and slot; ``docs``: for the columns."""
+def stored(docs: DataFrame, folder: str) -> DataFrame:
+    """The rows of :func:`write_shards` with shard, part and place; ``docs``: for the columns."""
     own = docs.drop(*[c for c in docs.columns if c.lower() in ("shard", "part", "place", "slot")])
-    rows = docs.sparkSession.read.schema(extended(own, "part int, place long, shard int")).parquet(folder)
-    counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    return docs.sparkSession.read.schema(extended(own, "part int, place long, shard int")).parquet(folder)
+
+
+def with_slots(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with slot for part and place; ``counts``: the stored rows that are counted, all of them."""
+    tasks = counts.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("shard", "part", F.coalesce(before, F.lit(0)).alias("_start"))
+    starts = tasks.select("shard", "part", F.coalesce(before, F.lit(0)).alias("_start"))
     return rows.join(starts, ["shard", "part"]).withColumn("slot", F.col("_start") + F.col("place")).drop("_start", "part", "place")
 
 
+def read_shards(docs: DataFrame, folder: str) -> DataFrame:
+    """The rows of :func:`write_shards` with shard and slot; ``docs``: for the columns."""
+    rows = stored(docs, folder)
+    return with_slots(rows, rows)
+
+
 def query(docs: DataFrame, shards: int = 8, items: int = ITEMS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of ``docs`` (doc_id, text), from the shards' files."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     folder = shared_dir(docs.sparkSession, "shards")
     write_shards(docs, folder, shards, items)
-    text = F.coalesce("text", F.lit(""))
-    return read_shards(docs, folder).select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
-        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows, text = stored(docs, folder), F.coalesce("text", F.lit(""))
+    # digests before slots, so that no text is shuffled
+    digests = rows.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "part", "place")
+    return with_slots(digests, rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
