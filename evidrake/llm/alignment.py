@@ -3,13 +3,13 @@
 Both vocabularies part a text before any space or line break that follows a non-space: the byte-level one splits there before
 its merges, and no piece of the other one holds a space after another character, or a line break. So the units between such
 places are encoded and aligned by themselves, and a text is its units one after another. Each task gathers some MB of texts (a
-chunk), encodes their distinct units, and gives the token intervals of both sides to DuckDB: ASOF joins find the first and last B token
-that an A token meets, a range join the links, window sums over shared ends the groups. Out come a row for each document (with the
-numbers of its units) and one for each link of a distinct unit, with the unit's occurrences.
+chunk), encodes units that are new to its worker, and gives their token intervals on both sides to DuckDB: ASOF joins find the
+first and last B token that an A token meets, a range join the links, window sums over shared ends the groups. Out come a row for
+each document (with the numbers of its units), the chunk's id pairs with their counts, and its units as lists of those pairs.
 
-Spark sums those partial counts by id pair, finds each B id's highest, joins them to the links of the chunks' distinct units, and
-sums them by unit; a second pass reads each chunk's documents with its units' sums. Nothing is broadcast or collected, and a
-chunk is the most that a task holds. A longer text is a chunk of its own.
+Spark sums the partial counts by id pair, finds each B id's highest, and joins them to the pairs of the chunks; a second pass
+reads each chunk's pairs, units and documents in this order. Nothing is broadcast or collected, and a chunk is the most
+that a task holds; a longer text is a chunk of its own.
 
 Null and empty texts, and those whose tokens' bytes are not the text's (a text with U+2581), have no tokens: zeros, and '' for
 the digest. Null ids come back null, repeated ids and rows are rows of their own, ties for a B id's highest all count, an empty table
@@ -22,7 +22,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import duckdb
 import numpy as np
@@ -38,28 +38,28 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Characters of text that a chunk gathers, and the memory of a task's DuckDB.
-CHUNK, MEMORY = 8 << 20, "512MB"
+#: Characters of text that a chunk gathers, units that a worker remembers and aligns at once, and the memory of its DuckDB.
+CHUNK, REMEMBERED, AT_ONCE, MEMORY = 4 << 20, 300_000, 50_000, "256MB"
 MARK = "▁"
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 RUNS = re.compile(r"\s[ \n]")
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _AS_BYTE = {chr(b): b for b in _SHOWN} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
-# token intervals on one line of bytes (units end to end); l: of an A token, the B tokens that it meets
-_REACH = """CREATE OR REPLACE TEMP TABLE reach AS
-    SELECT f.n, f.unit, f.id, f.head, l.n AS tail
+# token intervals on one line of bytes (units end to end); of an A token, the first and the last B token that it meets
+_REACH = """SELECT f.n, f.unit, f.id, f.head, l.n AS tail
     FROM (SELECT a.n, a.unit, a.id, a.hi, b.n AS head FROM a ASOF JOIN b ON a.lo >= b.lo) f ASOF JOIN b l ON f.hi > l.lo"""
-_LINKS = """SELECT r.unit, r.id AS a, b.id AS b, count(*) AS k FROM reach r JOIN b ON b.n BETWEEN r.head AND r.tail GROUP BY ALL"""
-_GROUPED = """CREATE OR REPLACE TEMP TABLE {0}_groups AS
-    SELECT unit, g, string_agg(id, ',' ORDER BY n) AS ids, count(*) AS n FROM (
-        SELECT unit, n, id, sum(cut) OVER (ORDER BY n) - cut AS g
-        FROM (SELECT x.unit, x.n, x.id, CASE WHEN y.hi IS NULL THEN 0 ELSE 1 END AS cut FROM {0} x LEFT JOIN {1} y ON x.hi = y.hi)) GROUP BY unit, g"""
-_UNITS = """SELECT x.unit, CAST(sum(x.n) AS BIGINT) AS n_a, CAST(sum(y.n) AS BIGINT) AS n_b, count(*) AS n_groups, string_agg(x.ids || '|' || y.ids, ';' ORDER BY x.g) AS shown
-    FROM a_groups x JOIN b_groups y ON x.g = y.g GROUP BY x.unit"""
-
+_LINKS = f"SELECT r.unit, r.id AS a, b.id AS b FROM ({_REACH}) r JOIN b ON b.n BETWEEN r.head AND r.tail"
+# the number of shared ends before a token is its group
+_GROUPED = """SELECT n, cut, sum(cut) OVER (ORDER BY n) - cut AS g
+    FROM (SELECT x.n, CASE WHEN y.hi IS NULL THEN 0 ELSE 1 END AS cut FROM {0} x LEFT JOIN {1} y ON x.hi = y.hi) ORDER BY n"""
+
+_COUNTED = ("n_a", "n_b", "n_groups", "n_links")
+#: Kinds of rows of a chunk, in the order in which the second pass reads them.
+PAIR, UNITS, DOCUMENT = 0, 1, 2
 _FOUND = (
-    "chunk long, unit int, a int, b int, k long, n long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary"
+    "chunk long, kind int, at int, a int, b int, n long, lengths binary, pairs binary, "
+    "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary"
 )
 _OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -91,6 +91,40 @@ class Aligner:
         if any(re.search(f"[^{MARK}]{MARK}|[ \n]", p) for p in pieces):
             raise ValueError("pieces run over spaces or line breaks, so units cannot be encoded by themselves")
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+        numbers = [str(i) for i in range(max(len(self.bytes_a), len(pieces)))]
+        self.shown_ids = [numbers, *([mark + x for x in numbers] for mark in ";|,")]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Nothing is known: units' places, and by place whether both sides have its bytes, its counts, groups and links."""
+        self.slots: dict[str, int] = {}
+        self.good, self.counts = np.zeros(0, bool), {k: np.zeros(0, np.int64) for k in _COUNTED}
+        self.shown: list[bytes] = []
+        self.links = np.zeros((0, 2), np.int32)  # (a, b) of all units, one unit after another
+        self.ends = np.zeros(1, np.int64)  # where each unit's links begin, and the end
+
+    def places(self, flat: list[str]) -> np.ndarray:
+        """The places of units, of which the new ones are aligned."""
+        if len(self.slots) > REMEMBERED:
+            self._forget()
+        out = np.fromiter(map(self.slots.get, flat, repeat(-1)), np.int64, len(flat))
+        holes = np.flatnonzero(out < 0).tolist()
+        new = list(dict.fromkeys(flat[i] for i in holes))
+        for at in range(0, len(new), AT_ONCE):
+            self._learn(new[at : at + AT_ONCE])
+        if holes:
+            out[holes] = [self.slots[flat[i]] for i in holes]
+        return out
+
+    def _learn(self, found: list[str]) -> None:
+        good, counts, shown, unit, links = self.align(found)
+        for u in found:
+            self.slots[u] = len(self.slots)
+        self.good = np.concatenate([self.good, good])
+        self.counts = {k: np.concatenate([self.counts[k], counts[k]]) for k in _COUNTED}
+        self.shown += shown
+        self.links = np.concatenate([self.links, links[np.argsort(unit, kind="stable")]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts["n_links"])])
 
     @classmethod
     def of(cls, path_a: str, path_b: str) -> Aligner:
@@ -109,39 +143,44 @@ class Aligner:
                 right[i] = right[i][1:] if right[i][:1] == [self.mark] else []
         return left, right
 
-    def _intervals(self, ids: list[list[int]], known: list[bytes], numbers: np.ndarray) -> pa.Table:
+    def _intervals(self, ids: list[list[int]], known: list[bytes], numbers: np.ndarray) -> dict[str, np.ndarray]:
         flat = np.fromiter(chain.from_iterable(ids), np.int32)
         lengths = np.fromiter((len(known[i]) for i in flat.tolist()), np.int64, len(flat))
         ends = np.cumsum(lengths)
-        return pa.table({"n": np.arange(len(flat)), "unit": np.repeat(numbers, [len(x) for x in ids]), "id": flat, "lo": ends - lengths, "hi": ends})
+        return {"n": np.arange(len(flat)), "unit": np.repeat(numbers, [len(x) for x in ids]), "id": flat, "lo": ends - lengths, "hi": ends}
 
-    def align(self, found: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray], list[bytes], pa.Table]:
-        """Of units: which have the same bytes on both sides, their counts (n_a, n_b, n_groups, n_links), groups as text, and links."""
+    def align(self, found: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray], list[bytes], np.ndarray, np.ndarray]:
+        """Of units: which have the same bytes on both sides, their counts, groups as text, and the links with their units."""
         left, right = self.tokens(found)
         good = np.zeros(len(found), bool)
         for i, u in enumerate(found):
             data = u.encode()
             good[i] = b"".join([self.bytes_a[x] for x in left[i]]) == data and b"".join([self.bytes_b[x] for x in right[i]]) == data
         numbers = np.flatnonzero(good)
-        self.sql.register("a_rows", self._intervals([left[i] for i in numbers.tolist()], self.bytes_a, numbers))
-        self.sql.register("b_rows", self._intervals([right[i] for i in numbers.tolist()], self.bytes_b, numbers))
-        for x in "ab":
+        sides = [self._intervals([ids[i] for i in numbers.tolist()], known, numbers) for ids, known in ((left, self.bytes_a), (right, self.bytes_b))]
+        for x, side in zip("ab", sides, strict=True):
+            self.sql.register(f"{x}_rows", pa.table(side))
             self.sql.execute(f"CREATE OR REPLACE TEMP TABLE {x} AS SELECT * FROM {x}_rows")
             self.sql.unregister(f"{x}_rows")
-        self.sql.execute(_REACH)
-        links = self.sql.execute(_LINKS).to_arrow_table()
-        self.sql.execute(_GROUPED.format("a", "b"))
-        self.sql.execute(_GROUPED.format("b", "a"))
-        rows = self.sql.execute(_UNITS).to_arrow_table()
-        at = rows.column("unit").to_numpy()
-        counts = {k: np.zeros(len(found), np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")}
-        for k in ("n_a", "n_b", "n_groups"):
-            counts[k][at] = rows.column(k).to_numpy()
-        np.add.at(counts["n_links"], links.column("unit").to_numpy(), links.column("k").to_numpy())
-        shown = [b""] * len(found)
-        for i, s in zip(at.tolist(), rows.column("shown").to_pylist(), strict=True):
-            shown[i] = s.encode()
-        return good, counts, shown, links
+        linked = self.sql.execute(_LINKS).fetchnumpy()
+        grouped = [self.sql.execute(_GROUPED.format(*x)).fetchnumpy() for x in ("ab", "ba")]
+        count = lambda at: np.bincount(at, minlength=len(found)).astype(np.int64)
+        n_groups = count(sides[0]["unit"][grouped[0]["cut"] == 1])
+        counts = {"n_a": count(sides[0]["unit"]), "n_b": count(sides[1]["unit"]), "n_groups": n_groups, "n_links": count(linked["unit"])}
+        return good, counts, self._shown(len(found), sides, grouped), linked["unit"], np.stack([linked["a"], linked["b"]], 1).astype(np.int32)
+
+    def _shown(self, n: int, sides: list[dict], grouped: list[dict]) -> list[bytes]:
+        """The groups of units as text: ids with a mark before each but the first of a unit."""
+        unit, ids = (np.concatenate([s[k] for s in sides]) for k in ("unit", "id"))
+        group = np.concatenate([g["g"] for g in grouped]).astype(np.int64)
+        side = np.repeat([0, 1], [len(s["n"]) for s in sides])
+        order = np.lexsort((side, group))  # stable: tokens of a side stay in order
+        unit, ids, group, side = unit[order], ids[order], group[order], side[order]
+        new = lambda x: np.diff(x, prepend=-1) != 0
+        mark = np.where(new(unit), 0, np.where(new(group), 1, np.where(new(side), 2, 3)))
+        pieces = [self.shown_ids[m][i] for m, i in zip(mark.tolist(), ids.tolist(), strict=True)]
+        ends = np.cumsum(np.bincount(unit, minlength=n)).tolist()
+        return ["".join(pieces[lo:hi]).encode() for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def sums_of(starts: np.ndarray, codes: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -150,47 +189,55 @@ def sums_of(starts: np.ndarray, codes: np.ndarray, values: np.ndarray) -> np.nda
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def spans_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of several ranges, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Rows of documents (unit is null) and of the links of the chunks' distinct units, stored: ids a and b,
-    k such links in the unit, n in all its occurrences.
+    """Stored rows of chunks, by kind. DOCUMENT: its counts, its groups' digest, and the numbers of its units in the chunk.
+    PAIR: ids a and b, and their n links in the chunk. UNITS: how many links each unit has, and those links' pairs, by number.
 
-    Of a document: its counts, its groups' digest, and the numbers of its units in its chunk (little-endian, 32 bits).
+    Lists of numbers are little-endian with 32 bits.
     """
     spark = docs.sparkSession
     prepare(spark)
     schema = arrow_schema(spark, _FOUND)
 
-    def rows_of(columns: dict, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+    def rows_of(kind: int, chunk: int, rows: int, /, **columns) -> pa.RecordBatch:
+        columns |= {"chunk": [chunk] * rows, "kind": [kind] * rows}
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
     def one(chunk: int, ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
-        aligner, known = Aligner.of(path_a, path_b), {}
+        aligner = Aligner.of(path_a, path_b)
         rows = [units(t) if t else [] for t in texts]
-        flat = list(chain.from_iterable(rows))
-        for u in flat:
-            known.setdefault(u, len(known))
-        codes = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
         starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        good, counts, shown, links = aligner.align(list(known))
-        bad = sums_of(starts, codes, (~good).astype(np.int64)) > 0
-        out = {k: np.where(bad, 0, sums_of(starts, codes, v)) for k, v in counts.items()}
-        digests, binary = [], []
-        listed = codes.tolist()
-        for i, (lo, hi) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-            none = bad[i] or lo == hi
-            digests.append("" if none else hashlib.sha256(b";".join([shown[c] for c in listed[lo:hi]])).hexdigest())
-            binary.append(b"" if none else codes[lo:hi].astype("<u4").tobytes())
+        places = aligner.places(list(chain.from_iterable(rows)))
+        rows = None
+        bad = sums_of(starts, places, (~aligner.good).astype(np.int64)) > 0
+        counted = {k: np.where(bad, 0, sums_of(starts, places, aligner.counts[k])) for k in _COUNTED}
+        own, codes = np.unique(places, return_inverse=True)
+        times = np.bincount(codes[np.repeat(~bad, np.diff(starts))], minlength=len(own))
+        lengths = aligner.ends[own + 1] - aligner.ends[own]
+        links = aligner.links[spans_of(aligner.ends[own], lengths)].astype(np.int64)
+        pairs, number = np.unique(links[:, 0] << 32 | links[:, 1], return_inverse=True)
+        n = np.zeros(len(pairs), np.int64)
+        np.add.at(n, number, np.repeat(times, lengths))
+        for lo in range(0, len(pairs), 20_000):
+            p = pairs[lo : lo + 20_000]
+            yield rows_of(PAIR, chunk, len(p), at=np.arange(lo, lo + len(p)), a=p >> 32, b=p & 0xFFFFFFFF, n=n[lo : lo + len(p)])
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        for lo in range(0, len(own), 20_000):
+            hi = min(len(own), lo + 20_000)
+            yield rows_of(UNITS, chunk, 1, at=[lo], lengths=[lengths[lo:hi].astype("<u4").tobytes()], pairs=[number[ends[lo] : ends[hi]].astype("<u4").tobytes()])
+        listed, shown = places.tolist(), aligner.shown
         for lo in range(0, len(ids), 512):
-            part = slice(lo, lo + 512)
-            n = len(ids[part])
-            yield rows_of({"chunk": [chunk] * n, "doc_id": ids[part], "groups_sha256": digests[part], "units": binary[part], **{k: v[part] for k, v in out.items()}}, n)
-        times = np.bincount(codes[np.repeat(~bad, np.diff(starts))], minlength=len(known))
-        at = links.column("unit").to_numpy()
-        keep = np.flatnonzero(times[at] > 0)
-        at, a, b, k = at[keep], *(links.column(c).to_numpy()[keep] for c in ("a", "b", "k"))
-        for lo in range(0, len(at), 20_000):
-            p = slice(lo, lo + 20_000)
-            yield rows_of({"chunk": np.full(len(at[p]), chunk), "unit": at[p], "a": a[p], "b": b[p], "k": k[p], "n": k[p] * times[at[p]]}, len(at[p]))
+            hi = min(len(ids), lo + 512)
+            none = [bad[i] or starts[i] == starts[i + 1] for i in range(lo, hi)]
+            digests = ["" if x else hashlib.sha256(b";".join([shown[c] for c in listed[starts[i] : starts[i + 1]]])).hexdigest() for i, x in enumerate(none, lo)]
+            binary = [b"" if x else codes[starts[i] : starts[i + 1]].astype("<u4").tobytes() for i, x in enumerate(none, lo)]
+            yield rows_of(DOCUMENT, chunk, hi - lo, at=range(lo, hi), doc_id=ids[lo:hi], groups_sha256=digests, units=binary, **{k: v[lo:hi] for k, v in counted.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
@@ -211,7 +258,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 def pair_counts(found: DataFrame) -> DataFrame:
     """(a, b, n, best): links of each id pair in all documents, and whether no A id has more links with that B id."""
-    pairs = found.where("unit IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
     return pairs.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b")))
 
 
@@ -219,35 +266,39 @@ def scored(found: DataFrame, counts: DataFrame) -> DataFrame:
     """One row for each document of :func:`alignments`, with n_best and count_sum by ``counts``."""
     spark = found.sparkSession
     schema = arrow_schema(spark, _OUT)
-    links = found.where("unit IS NOT NULL").select("chunk", "unit", "a", "b", "k").join(counts.select("a", "b", F.col("n").alias("total"), "best"), ["a", "b"])
-    sums = links.groupBy("chunk", "unit").agg(F.sum(F.when(F.col("best"), F.col("k")).otherwise(0)).alias("n_best"), F.sum(F.col("k") * F.col("total")).alias("count_sum"))
-    own = ["n_a", "n_b", "n_groups", "n_links"]
-    documents = found.where("unit IS NULL").select("chunk", "unit", "doc_id", *own, "groups_sha256", "units")
-    both = documents.unionByName(sums, allowMissingColumns=True)
-    dealt = both.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", F.col("unit").asc_nulls_last())
+    pairs = found.where(F.col("kind") == PAIR).select("chunk", "kind", "at", "a", "b").join(counts.select("a", "b", "n", "best"), ["a", "b"])
+    others = found.where(F.col("kind") > PAIR).drop("a", "b", "n")
+    both = others.unionByName(pairs.drop("a", "b"), allowMissingColumns=True)
+    dealt = both.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "kind", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, total = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        now, held = None, {}
         for batch in batches:
-            chunks = batch.column("chunk").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)] if len(chunks) else [0]
+            chunks, kinds = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(chunks) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(chunks)]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                part = batch.slice(lo, hi - lo)
-                if chunks[lo] != now:
-                    now, best, total = chunks[lo], np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-                n = part.num_rows - part.column("unit").null_count  # units come before documents
-                if n:
-                    at = part.column("unit").slice(0, n).to_numpy()
-                    while int(at[-1]) >= len(best):
-                        best, total = (np.concatenate([x, np.zeros_like(x)]) for x in (best, total))
-                    best[at], total[at] = (part.column(c).slice(0, n).to_numpy() for c in ("n_best", "count_sum"))
-                rows = part.slice(n)
-                if not rows.num_rows:
+                if lo == hi:
+                    continue
+                if chunks[lo] != now:  # lists of arrays by kind, joined when the next kind comes
+                    now, held = chunks[lo], {PAIR: ([], []), UNITS: ([], [])}
+                rows, kind = batch.slice(lo, hi - lo), int(kinds[lo])
+                if kind == PAIR:
+                    held[PAIR][0].append(np.where(rows.column("best").to_numpy(zero_copy_only=False), 1, 0))
+                    held[PAIR][1].append(rows.column("n").to_numpy())
+                    continue
+                values = [np.concatenate([np.zeros(0, np.int64), *x]) for x in held[kind - 1]]
+                held[kind - 1] = tuple([x] for x in values)
+                # a unit is a list of pairs, a document a list of units
+                lists = rows.column("pairs" if kind == UNITS else "units").to_pylist()
+                lengths = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows.column("lengths").to_pylist()] if kind == UNITS else [np.array([len(x) // 4 for x in lists])]
+                starts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+                codes = np.frombuffer(b"".join(lists), "<u4").astype(np.int64)
+                sums = [sums_of(starts, codes, v) for v in values]
+                if kind == UNITS:
+                    for x, v in zip(held[UNITS], sums, strict=True):
+                        x.append(v)
                     continue
-                data = rows.column("units").to_pylist()
-                codes = np.frombuffer(b"".join(data), "<u4").astype(np.int64)
-                starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])])
-                made = {"n_best": pa.array(sums_of(starts, codes, best)), "count_sum": pa.array(sums_of(starts, codes, total))}
+                made = {"n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1])}
                 yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else rows.column(f.name) for f in schema], schema=schema)
 
     return dealt.mapInArrow(run, _OUT)
