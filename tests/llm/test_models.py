@@ -4,13 +4,15 @@ import hashlib
 import re
 import time
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from evidrake.llm import pii, quality, toxicity
-from evidrake.llm.queries import QUERIES
+from evidrake.llm.queries import QUERIES, WORD_BPE
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -186,6 +188,29 @@ def test_gates_admit_every_candidate(spelled):
             assert pii._LEAST.search(text)
 
 
+def dense(model):
+    """The score of a text by its cosines with all examples, without an index."""
+    index = model.index
+    rows = np.zeros((index.n, len(model.weights)))
+    for term, at in enumerate(index.frequent.tolist()):
+        if at >= 0:
+            rows[:, term] = index.full[at]
+        lo, hi = index.cuts[term : term + 2]
+        rows[index.docs[lo:hi], term] = index.weights[lo:hi]
+    assert np.allclose(np.linalg.norm(rows, axis=1)[np.abs(rows).sum(axis=1) > 0], 1)
+
+    def score(text):
+        terms, w = model.vector(text)
+        cosines = np.round(rows[:, terms] @ w, 12)
+        near = [i for i in np.lexsort((np.arange(len(cosines)), -cosines)).tolist() if cosines[i] > 0][: model.k]
+        if not near:
+            return model.prior
+        share = sum(cosines[i] * model.labels[i] for i in near) / sum(cosines[i] for i in near)
+        return 1 / (1 + np.exp(-(model.slope * share + model.shift)))
+
+    return score
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against a plain version on its own input."""
     from evidrake.llm.shingle_join import near_duplicates
@@ -193,18 +218,36 @@ def test_pipeline(spark, tmp_path):
     docs, labels = tables(spark)
     stages = dict(corpus_pipeline.STAGES)
     good = stages["quality classifier"](spark, docs, FOLDER).cache()
-    machine, features = quality.train(docs, labels, metadata=()), quality.Features()
-    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in docs.collect() if machine.score(*features(r.text, [])) >= 0.3}
+    machine = quality.train(docs, labels, metadata=quality.known_metadata(docs))
+    every = docs.collect()
+    by_rule = quality.scores(machine, {"text": [r.text for r in every], "n_chars": [r.n_chars for r in every]}, ("n_chars",))
+    assert {r.doc_id for r in good.collect()} == {r.doc_id for r, x in zip(every, by_rule, strict=True) if x >= 0.3}
     assert good.columns == docs.columns
-    one = stages["n-gram Jaccard join"](spark, good, FOLDER).cache()
-    assert {r.doc_id for r in one.collect()} == {r.doc_id for r in near_duplicates(good).where("kept").collect()} and sorted(one.columns) == sorted(docs.columns)
-    clean = {r.doc_id: r for r in stages["personal data"](spark, one, FOLDER).collect()}
+    civil = stages["toxicity"](spark, good, FOLDER).cache()
+    nearest = dense(toxicity.train(good, labels))
+    assert {r.doc_id for r in civil.collect()} == {r.doc_id for r in good.collect() if nearest(r.text) < 0.5} and 0 < civil.count() < good.count()
+    one = stages["n-gram Jaccard join"](spark, civil, FOLDER).cache()
+    assert {r.doc_id for r in one.collect()} == {r.doc_id for r in near_duplicates(civil).where("kept").collect()} and sorted(one.columns) == sorted(docs.columns)
+    redacted = stages["personal data"](spark, one, FOLDER).cache()
+    clean = {r.doc_id: r for r in redacted.collect()}
+    whole, want = Tokenizer.from_file(WORD_BPE), []
+    for r in clean.values():
+        ids = [*whole.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want += [(r.doc_id, k, k * 4096, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for k, p in enumerate(ids[a : a + 4096] for a in range(0, len(ids), 4096))]
+    packed = stages["best-fit packing"](spark, redacted, FOLDER).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == sorted(want)
+    places = defaultdict(list)
+    for r in packed:
+        places[r.sequence_id].append((r.offset, r.length))
+    for found in places.values():
+        assert [a for a, _ in sorted(found)] == [0, *np.cumsum([n for _, n in sorted(found)]).tolist()[:-1]] and sum(n for _, n in found) <= 4096
+    assert len(places) <= -(-sum(r.length for r in packed) // 4096) + 2
     assert not any(plain(r.text) for r in clean.values()) and all(r.n_chars == len(r.text) for r in clean.values())
     odd = spark.createDataFrame([(1, None, None, None, None, "e"), (None, "a word", "en", "s", 6, "e"), (2, "", "en", "s", 0, "e")], "doc_id long, text string, lang string, source string, n_chars long, SCORE string")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), FOLDER).count() == 0
         assert stage(spark, odd, FOLDER).count() >= 1
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
 
 
 def test_long_texts_of_personal_data(spelled):
