@@ -117,7 +117,7 @@ def is_instruction_evidence(span: Column) -> Column:
 
 
 def wants_compact(question: Column, passage: Column) -> Column:
-    measure = rf"(?i)[\x{{00A3}}$\x{{20AC}}]|{BEFORE}\d+(?:\.\d+)?\s*(?:{L.MEASURE_UNITS})(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    measure = rf"(?i)[{L.CURRENCY}]|{BEFORE}\d+(?:\.\d+)?\s*(?:{L.MEASURE_UNITS})(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
     return question.rlike(words(L.COMPACT_WORDS)) | (question.rlike(words(L.METRIC_WORDS)) & passage.rlike(measure))
 
 

@@ -107,10 +107,12 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.size("a").cast("long").alias("n"), F.size("b").cast("long").alias("n_protected"), F.md5(F.array_join("a", "|")).alias("sentences_md5"))
 
 
-@query(f"SELECT doc_id, {S.negation('text')} AS negation, {S.yes_no('text')} AS yes_no, {S.about_instruction('text')} AS about_instruction, {S.has('text', L.INSTRUCTION_EVIDENCE)} AS instruction_evidence, {S.compact('text', 'text')} AS compact FROM documents")
+@query(f"SELECT doc_id, {S.negation('text')} AS negation, {S.yes_no('text')} AS yes_no, {S.about_instruction('text')} AS about_instruction, "
+    f"{S.has('text', L.INSTRUCTION_EVIDENCE)} AS instruction_evidence, {S.compact('text', 'text')} AS compact FROM documents")
 def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return documents(spark, sf_dir).select("doc_id", T.has_negation(t).alias("negation"), T.is_positive_yes_no(t).alias("yes_no"), T.asks_about_instruction(t).alias("about_instruction"), T.is_instruction_evidence(t).alias("instruction_evidence"), T.wants_compact(t, t).alias("compact"))
+    return documents(spark, sf_dir).select("doc_id", T.has_negation(t).alias("negation"), T.is_positive_yes_no(t).alias("yes_no"),
+        T.asks_about_instruction(t).alias("about_instruction"), T.is_instruction_evidence(t).alias("instruction_evidence"), T.wants_compact(t, t).alias("compact"))
 
 
 def _chunk_rows(made: DataFrame) -> DataFrame:
@@ -206,7 +208,8 @@ def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLOW = f"{DOC_CHUNKS}, {DOC_ASKS}, {S.index()}, {S.retrieval()}, {S.decision()}"
 
 
-@query(f"WITH {_FLOW} SELECT question_id, doc_id, CAST(best_rank AS INT) AS best_rank, round(best_coverage, 6) AS coverage, key_term, key_present FROM joined JOIN keys USING (question_id, doc_id) WHERE best_rank IS NOT NULL")
+@query(f"WITH {_FLOW} SELECT question_id, doc_id, CAST(best_rank AS INT) AS best_rank, round(best_coverage, 6) AS coverage, key_term, key_present FROM joined "
+    f"JOIN keys USING (question_id, doc_id) WHERE best_rank IS NOT NULL")
 def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _assessed(spark, sf_dir).where("best IS NOT NULL AND key_term IS NOT NULL")
     return rows.select("question_id", "doc_id", F.col("best.rank").alias("best_rank"), r6("best.coverage").alias("coverage"), "key_term", "key_present")
@@ -216,7 +219,8 @@ _DECISION = "question_id, doc_id, round(top_score, 6) AS top_score, round(margin
 
 
 def _decision_rows(decided: DataFrame) -> DataFrame:
-    return decided.select("question_id", "doc_id", r6("top_score").alias("top_score"), r6("score_margin").alias("score_margin"), "reason", "support_kind", F.coalesce("support_span", F.lit("")).alias("support_span"), "selected_rank", r6("evidence_coverage").alias("evidence_coverage"))
+    return decided.select("question_id", "doc_id", r6("top_score").alias("top_score"), r6("score_margin").alias("score_margin"), "reason", "support_kind",
+        F.coalesce("support_span", F.lit("")).alias("support_span"), "selected_rank", r6("evidence_coverage").alias("evidence_coverage"))
 
 
 @query(f"WITH {_FLOW} SELECT {_DECISION} FROM decisions")
@@ -228,7 +232,8 @@ _ANSWER = "question_id, doc_id, reason, md5(answer) AS answer_md5, length(answer
 
 
 def _answer_rows(done: DataFrame) -> DataFrame:
-    return done.select("question_id", "doc_id", "reason", F.md5("answer").alias("answer_md5"), F.length("answer").cast("long").alias("answer_chars"), F.array_join("cited_chunk_ids", ",").alias("cited"), r6("confidence").alias("confidence"))
+    return done.select("question_id", "doc_id", "reason", F.md5("answer").alias("answer_md5"), F.length("answer").cast("long").alias("answer_chars"),
+        F.array_join("cited_chunk_ids", ",").alias("cited"), r6("confidence").alias("confidence"))
 
 
 @query(f"WITH {_FLOW}, {S.answers()} SELECT {_ANSWER} FROM answered")
@@ -261,7 +266,8 @@ def _made_sql(number: int) -> str:
     return "CASE kind " + " ".join(f"WHEN {n} THEN {t}" for n, t in enumerate(texts)) + " END"
 
 
-_TURNS = f"""turns AS (SELECT conv_id * 10000 + turn AS doc_id, text AS own, (conv_id + turn) % {len(NOTE_KINDS)} AS kind, coalesce(ts[1], 'x') AS w1, coalesce(ts[2], 'y') AS w2, coalesce(ts[-1], 'z') AS w3
+_TURNS = f"""turns AS (SELECT conv_id * 10000 + turn AS doc_id, text AS own,
+    (conv_id + turn) % {len(NOTE_KINDS)} AS kind, coalesce(ts[1], 'x') AS w1, coalesce(ts[2], 'y') AS w2, coalesce(ts[-1], 'z') AS w3
         FROM (SELECT *, {S.tokens('text')} AS ts FROM conversations))"""
 _NOTES = f"""{_TURNS}, notes AS (SELECT doc_id, own || {_made_sql(0)} AS text FROM turns),
     cases AS (SELECT 'c' || doc_id AS question_id, doc_id, {_made_sql(1)} AS question, CASE WHEN kind < 3 THEN 1 ELSE 0 END AS yes, {_made_sql(2)} AS evidence FROM turns),
@@ -273,9 +279,11 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Cases, one for each turn of a conversation, and the notes that they ask about."""
     turns = spread(table(spark, sf_dir, "conversations")).withColumn("ts", T.tokens(F.col("text")))
     word = lambda i, other: F.coalesce(F.try_element_at("ts", F.lit(i)), F.lit(other))
-    rows = turns.select((F.col("conv_id") * 10000 + F.col("turn")).cast("string").alias("document"), F.col("text").alias("own"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(NOTE_KINDS))).alias("kind"),
+    rows = turns.select((F.col("conv_id") * 10000 + F.col("turn")).cast("string").alias("document"), F.col("text").alias("own"),
+        F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(NOTE_KINDS))).alias("kind"),
                         word(1, "x").alias("w1"), word(2, "y").alias("w2"), word(-1, "z").alias("w3"))
-    cases = rows.select(F.concat(F.lit("c"), F.col("document")).alias("id"), "document", _made(1).alias("question"), (F.col("kind") < 3).alias("answerable"), F.nullif(_made(2), F.lit("")).alias("expected_evidence"))
+    cases = rows.select(F.concat(F.lit("c"), F.col("document")).alias("id"), "document", _made(1).alias("question"), (F.col("kind") < 3).alias("answerable"),
+        F.nullif(_made(2), F.lit("")).alias("expected_evidence"))
     return cases, rows.select("document", F.concat("own", _made(0)).alias("text"))
 
 
@@ -292,7 +300,8 @@ def special_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_NOTE_FLOW}, {S.answers()} SELECT {_ANSWER}, answer FROM answered")
 def answer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = A.answer(G.decide(_assessed_notes(spark, sf_dir))).withColumn("shown", F.col("answer"))
-    return done.select("question_id", "doc_id", "reason", F.md5("answer").alias("answer_md5"), F.length("answer").cast("long").alias("answer_chars"), F.array_join("cited_chunk_ids", ",").alias("cited"), r6("confidence").alias("confidence"), "answer")
+    return done.select("question_id", "doc_id", "reason", F.md5("answer").alias("answer_md5"), F.length("answer").cast("long").alias("answer_chars"),
+        F.array_join("cited_chunk_ids", ",").alias("cited"), r6("confidence").alias("confidence"), "answer")
 
 
 @query(f"WITH {_NOTES}, {S.window_chunks('notes')}, {S.index()}, {S.retrieval(1)} {_RETRIEVED}")
@@ -311,7 +320,8 @@ CLAMPED = ((30, 500, 100, 99), (50.9, -5, 100, 0), (250.7, 20.6, 250, 20), (-1,
 
 
 @query(" UNION ALL ".join(
-    f"SELECT {n} AS config, doc_id, chunk_index, md5(text) AS text_md5 FROM (WITH {S.window_chunks('(SELECT item_id AS doc_id, text FROM benchmark)', t, o)} SELECT * FROM chunks)" for n, (_, _, t, o) in enumerate(CLAMPED)))
+    f"SELECT {n} AS config, doc_id, chunk_index, md5(text) AS text_md5 "
+        f"FROM (WITH {S.window_chunks('(SELECT item_id AS doc_id, text FROM benchmark)', t, o)} SELECT * FROM chunks)" for n, (_, _, t, o) in enumerate(CLAMPED)))
 def chunk_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the benchmark items, with targets and overlaps that are out of range."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
@@ -340,7 +350,8 @@ def ask_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = lambda d: F.pmod(F.floor(d / 10000) + 2 * F.pmod(d, F.lit(10000)), F.lit(7))
     longer = lambda x, n: F.repeat(x, (F.floor(F.lit(n + 1) / F.length(x)) + 1).cast("int"))
     docs = notes.select(key.alias("doc_id"), F.when(kind(key) == 0, "\n").when(kind(key) == 1, longer(F.col("text"), L.DOCUMENT_LIMIT)).otherwise(F.col("text")).alias("text"))
-    questions = cases.select(F.col("id").alias("question_id"), F.when(kind(key) == 3, " ").when(kind(key) == 4, longer(F.col("question"), L.QUESTION_LIMIT)).otherwise(F.col("question")).alias("question"))
+    questions = cases.select(F.col("id").alias("question_id"), F.when(kind(key) == 3, " ").when(kind(key) == 4,
+        longer(F.col("question"), L.QUESTION_LIMIT)).otherwise(F.col("question")).alias("question"))
     done = ask(docs, questions, cases.select(F.col("id").alias("question_id"), F.when(kind(key) == 2, -key - 1).otherwise(key).alias("doc_id")))
     return done.select("question_id", "doc_id", "status", "reason", F.md5("answer").alias("answer_md5"), F.array_join("cited_chunk_ids", ",").alias("cited"), "chunk_count")
 
@@ -349,7 +360,8 @@ _AROUND = "array_to_string(ss[greatest(i - 1, 1) : i + l], ' ')"
 
 
 @query(f"""WITH {_NOTE_FLOW.replace(S.decision(), S.decision(0.0))}, {S.answers()},
-    around AS (SELECT question_id, doc_id, {_AROUND} AS span FROM (SELECT w.*, c.ss, row_number() OVER (PARTITION BY w.question_id, w.doc_id ORDER BY round(weight, {S.P}) DESC, w.l DESC, length(w.span), w.i) AS r
+    around AS (SELECT question_id, doc_id, {_AROUND} AS span FROM (SELECT w.*, c.ss, row_number() OVER (PARTITION BY w.question_id,
+        w.doc_id ORDER BY round(weight, {S.P}) DESC, w.l DESC, length(w.span), w.i) AS r
                FROM weighed w JOIN to_cut c USING (question_id, doc_id)) WHERE r = 1 AND round(weight, {S.P}) > 0)
     SELECT question_id, doc_id, md5(coalesce(a.span, {S.trim('c.text')})) AS span_md5 FROM to_cut c LEFT JOIN around a USING (question_id, doc_id)""")
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +371,9 @@ def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short.select("question_id", "doc_id", F.md5(A.answer_span(F.col("question"), F.col("passage"), 1)).alias("span_md5"))
 
 
-@query(f"WITH {_FLOW}, {S.answers()} SELECT question_id, doc_id, cited, string_agg('chunk_' || r.chunk_index || '=' || printf('%.3f', r.score), ' ' ORDER BY r.rank) AS retrieved, (SELECT count(*) FROM chunks c WHERE c.doc_id = a.doc_id) AS chunk_count FROM answered a JOIN retrieved r USING (question_id, doc_id) GROUP BY question_id, doc_id, cited")
+@query(f"WITH {_FLOW}, {S.answers()} SELECT question_id, doc_id, cited, string_agg('chunk_' || r.chunk_index || '=' || printf('%.3f', r.score), "
+    f"' ' ORDER BY r.rank) AS retrieved, (SELECT count(*) FROM chunks c WHERE c.doc_id = a.doc_id) AS chunk_count FROM answered a "
+        f"JOIN retrieved r USING (question_id, doc_id) GROUP BY question_id, doc_id, cited")
 def response(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = I.build_index(documents(spark, sf_dir))
     out = A.response(A.answer(G.decide(G.assessed_pairs(index, *asked(documents(spark, sf_dir), QUESTIONS)))), index.chunks)
@@ -370,7 +384,9 @@ def response(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EXCERPTS = "'<excerpt id=\"chunk_' || r.chunk_index || '\">' || chr(10) || replace(replace(replace(r.text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) || '</excerpt>'"
 
 
-@query(f"WITH {_FLOW} SELECT question_id, doc_id, md5(string_agg({_EXCERPTS}, chr(10) || chr(10) ORDER BY (r.rank <> d.selected_rank), r.rank) || chr(10) || chr(10) || 'Question: ' || any_value(question)) AS prompt_md5 FROM decisions d JOIN retrieved r USING (question_id, doc_id) JOIN questions USING (question_id) WHERE reason = 'supported' GROUP BY question_id, doc_id")
+@query(f"WITH {_FLOW} SELECT question_id, doc_id, md5(string_agg({_EXCERPTS}, chr(10) || chr(10) ORDER BY (r.rank <> d.selected_rank), "
+    f"r.rank) || chr(10) || chr(10) || 'Question: ' || any_value(question)) AS prompt_md5 FROM decisions d JOIN retrieved r USING (question_id, doc_id) "
+        f"JOIN questions USING (question_id) WHERE reason = 'supported' GROUP BY question_id, doc_id")
 def provider_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = provider.prompts(G.decide(_assessed(spark, sf_dir))).where("prompt IS NOT NULL")
     return rows.select("question_id", "doc_id", F.md5("prompt").alias("prompt_md5"))
@@ -421,8 +437,10 @@ def _outputs(text: Column) -> list[Column]:
     whole = said(F.concat(F.lit("  "), text, F.lit("\n")), ids("c2", "c1", "c2"))
     return [
         whole, F.concat(F.lit("```json\n"), said(text, ids("c1")), F.lit("\n```")), F.left(whole, F.length(whole) - 1), text, F.to_json(F.array(text)), F.lit("null"),
-        F.to_json(F.struct(ids("c1").alias("cited_chunk_ids"))), said(F.lit(" \t"), ids("c1")), said(F.length(text), ids("c1")), F.to_json(F.struct(text.alias("answer"))), said(text, ids().cast("array<string>")),
-        said(text, F.array(F.lit(1))), F.concat(F.lit('{"cited_chunk_ids":["c1",null],'), F.substring(F.to_json(F.struct(text.alias("answer"))), 2, 1 << 30)), said(text, ids("c1", "c3")), said(text, ids("c1"), F.lit(1).alias("x")),
+        F.to_json(F.struct(ids("c1").alias("cited_chunk_ids"))), said(F.lit(" \t"), ids("c1")), said(F.length(text), ids("c1")),
+            F.to_json(F.struct(text.alias("answer"))), said(text, ids().cast("array<string>")),
+        said(text, F.array(F.lit(1))), F.concat(F.lit('{"cited_chunk_ids":["c1",null],'), F.substring(F.to_json(F.struct(text.alias("answer"))), 2, 1 << 30)),
+            said(text, ids("c1", "c3")), said(text, ids("c1"), F.lit(1).alias("x")),
     ]
 
 
@@ -450,8 +468,10 @@ def _bodies(text: Column, role: Column) -> list[Column]:
     grown = lambda x, n: F.repeat(x, F.ceil(F.lit(n + 1) / F.greatest(F.length(T.trim(x)), F.lit(1))).cast("int") + 1)
     whole, blank = body(text, role), F.lit(" \n")
     return [
-        whole, F.to_json(F.struct(text.alias("documentText"))), body(text, blank), F.to_json(F.array(text)), F.concat(F.lit('"'), role, F.lit('"')), F.left(whole, F.length(whole) - 1), body(F.length(text), role),
-        body(text, F.lit(True)), body(grown(text, L.DOCUMENT_LIMIT), role), body(text, grown(role, L.QUESTION_LIMIT)), F.lit("null"), body(blank, grown(role, L.QUESTION_LIMIT)), body(F.concat(blank, text, blank), role, F.lit(1).alias("more")),
+        whole, F.to_json(F.struct(text.alias("documentText"))), body(text, blank), F.to_json(F.array(text)), F.concat(F.lit('"'), role, F.lit('"')),
+            F.left(whole, F.length(whole) - 1), body(F.length(text), role),
+        body(text, F.lit(True)), body(grown(text, L.DOCUMENT_LIMIT), role), body(text, grown(role, L.QUESTION_LIMIT)), F.lit("null"),
+            body(blank, grown(role, L.QUESTION_LIMIT)), body(F.concat(blank, text, blank), role, F.lit(1).alias("more")),
         body(grown(text, L.DOCUMENT_LIMIT), grown(role, L.QUESTION_LIMIT)),
     ]
 
@@ -479,12 +499,14 @@ _CASE_FLOW = f"""{_NOTE_FLOW}, {S.answers()},
         CASE WHEN reason = 'supported' THEN length(answer) ELSE 0 END AS answer_chars FROM answered a JOIN cases c ON c.question_id = a.question_id)"""
 
 
-@query(f"WITH {_CASE_FLOW} SELECT id, answerable, abstained, CAST(evidence_rank AS INT) AS evidence_rank, answered_with_evidence, top_score, CAST(answer_chars AS INT) AS answer_chars, CASE WHEN answerable THEN answered_with_evidence ELSE abstained END AS correct FROM outcomes")
+@query(f"WITH {_CASE_FLOW} SELECT id, answerable, abstained, CAST(evidence_rank AS INT) AS evidence_rank, answered_with_evidence, top_score, "
+    f"CAST(answer_chars AS INT) AS answer_chars, CASE WHEN answerable THEN answered_with_evidence ELSE abstained END AS correct FROM outcomes")
 def eval_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.outcomes(E.assessed_cases(*_cases(spark, sf_dir))).drop("question")
 
 
-@query(f"WITH {_CASE_FLOW}, n AS (SELECT *, CASE WHEN answerable THEN answered_with_evidence ELSE abstained END AS correct FROM outcomes) SELECT id, answerable, abstained, CAST(evidence_rank AS INT) AS evidence_rank, top_score, CAST(answer_chars AS INT) AS answer_chars FROM n WHERE NOT correct")
+@query(f"WITH {_CASE_FLOW}, n AS (SELECT *, CASE WHEN answerable THEN answered_with_evidence ELSE abstained END AS correct FROM outcomes) SELECT id, "
+    f"answerable, abstained, CAST(evidence_rank AS INT) AS evidence_rank, top_score, CAST(answer_chars AS INT) AS answer_chars FROM n WHERE NOT correct")
 def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The failed cases of a whole evaluation, which first checks that all cases are sound."""
     return E.evaluate(*_cases(spark, sf_dir))[2].select("id", "answerable", "abstained", "evidence_rank", "top_score", "answer_chars")
@@ -538,7 +560,8 @@ def eval_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRID = ", ".join(f"({t})" for t in L.COVERAGE_GRID)
-_SWEPT = f"""swept AS (SELECT threshold, question_id, CASE WHEN NOT relevant THEN false WHEN n_rank IS NOT NULL OR i_rank IS NOT NULL THEN true ELSE round(best_coverage, 9) >= threshold AND key_present END AS answers FROM joined, (VALUES {_GRID}) v(threshold))"""
+_SWEPT = f"""swept AS (SELECT threshold, question_id, CASE WHEN NOT relevant THEN false WHEN n_rank IS NOT NULL OR i_rank IS NOT NULL THEN true
+    ELSE round(best_coverage, 9) >= threshold AND key_present END AS answers FROM joined, (VALUES {_GRID}) v(threshold))"""
 
 
 @query(f"WITH {_FLOW}, {_SWEPT} SELECT CAST(threshold AS DOUBLE) AS threshold, count_if(answers) AS answered, count(*) AS pairs FROM swept GROUP BY threshold")
@@ -585,8 +608,10 @@ def eval_threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The notes and cases that the chunking sweep has beside those of the tables.
 CASES = (
-    ("c1", 1, "Did the company suffer a data breach?", True, "No data breach occurred"), ("c2", 2, "Was the service interrupted by the storm?", True, "was not interrupted"), ("c3", 3, "What does the quoted message say to ignore?", True, "ignore the policy"),
-    ("c4", 4, "How long is the response time?", True, "14 hours"), ("c5", 5, "Who approves hotel stays?", True, "Managers approve"), ("c6", 6, "How much do tickets cost?", True, "$5 each"), ("c7", 5, "Which planets have rings?", False, ""),
+    ("c1", 1, "Did the company suffer a data breach?", True, "No data breach occurred"), ("c2", 2, "Was the service interrupted by the storm?", True,
+        "was not interrupted"), ("c3", 3, "What does the quoted message say to ignore?", True, "ignore the policy"),
+    ("c4", 4, "How long is the response time?", True, "14 hours"), ("c5", 5, "Who approves hotel stays?", True, "Managers approve"),
+        ("c6", 6, "How much do tickets cost?", True, "$5 each"), ("c7", 5, "Which planets have rings?", False, ""),
     ("c8", 4, "What colour is the response form?", False, ""), ("c9", 6, "How many penguins work there?", False, ""),
 )
 
@@ -609,7 +634,8 @@ def _long_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     notes = spark.createDataFrame([(str(a), b) for a, b in NOTES], "document string, text string")
     held = _held(spark, sf_dir)
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    more = held.select(F.concat(F.lit("b"), F.col("item_id").cast("string"), name).alias("id"), name.alias("document"), "question", F.lit(True).alias("answerable"), F.get(T.evidence_sentences(F.col("question")), F.lit(0)).alias("expected_evidence"))
+    more = held.select(F.concat(F.lit("b"), F.col("item_id").cast("string"), name).alias("id"), name.alias("document"), "question",
+        F.lit(True).alias("answerable"), F.get(T.evidence_sentences(F.col("question")), F.lit(0)).alias("expected_evidence"))
     return cases.unionByName(more), notes.unionByName(held.select(name.alias("document"), "text").distinct())
 
 
@@ -643,7 +669,8 @@ MAXIMUMS = {"false_answer_rate": 0.0, "over_refusal_rate": 0.05, "mean_answer_ch
 
 def _gate_sql() -> str:
     rows = [(k, MINIMUMS.get(k), MAXIMUMS.get(k)) for k in sorted({*MINIMUMS, *MAXIMUMS})]
-    known = " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST({k} AS DOUBLE) AS value, CAST({lo or 'NULL'} AS DOUBLE) AS floor, CAST({'NULL' if hi is None else hi} AS DOUBLE) AS ceiling FROM m" for k, lo, hi in rows)
+    known = " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST({k} AS DOUBLE) AS value, CAST({lo or 'NULL'} AS DOUBLE) AS floor, "
+        f"CAST({'NULL' if hi is None else hi} AS DOUBLE) AS ceiling FROM m" for k, lo, hi in rows)
     return f"WITH {_CASE_FLOW}, {_RIGHT}, m AS ({_metrics_sql('n')}), g AS ({known}) SELECT metric, value, floor, ceiling FROM g WHERE value < floor OR value > ceiling"
 
 
@@ -669,6 +696,7 @@ def dataset_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("id"), (F.col("item_id") * F.when(kind == 0, 25).otherwise(1)).cast("string").alias("document"), F.col("text").alias("question"),
         (kind != 3).alias("answerable"), F.when(kind == 1, "").otherwise(first("text")).alias("expected_evidence"))
     doc = F.col("doc_id").cast("string")
-    sound = _held(spark, sf_dir).select(F.concat(F.lit("b"), F.col("item_id").cast("string"), F.lit("d"), doc).alias("id"), doc.alias("document"), "question", F.lit(True).alias("answerable"), first("question").alias("expected_evidence"))
+    sound = _held(spark, sf_dir).select(F.concat(F.lit("b"), F.col("item_id").cast("string"), F.lit("d"), doc).alias("id"), doc.alias("document"), "question",
+        F.lit(True).alias("answerable"), first("question").alias("expected_evidence"))
     texts = documents(spark, sf_dir).select(doc.alias("document"), "text")
     return E.dataset_problems(made.unionByName(sound), texts)

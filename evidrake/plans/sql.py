@@ -66,7 +66,7 @@ def about_instruction(x: str) -> str:
 
 
 def compact(question: str, passage: str) -> str:
-    measure = rf"(?i)[£$€]|\b\d+(?:\.\d+)?\s*(?:{L.MEASURE_UNITS})\b"
+    measure = rf"(?i)[{L.CURRENCY}]|\b\d+(?:\.\d+)?\s*(?:{L.MEASURE_UNITS})\b"
     return f"({has(question, L.COMPACT_WORDS)} OR ({has(question, L.METRIC_WORDS)} AND regexp_matches({passage}, '{measure}')))"
 
 
@@ -100,7 +100,8 @@ def packed_chunks(source: str, target: int = L.TARGET_CHARS, overlap: int = L.OV
     chunks AS (
         SELECT doc_id, CAST(k AS INT) AS chunk_index, CASE WHEN long THEN {trim(f"substr(t, CAST(k * {step} + 1 AS BIGINT), {target})")} ELSE cs[k + 1] END AS text
         FROM (SELECT doc_id, t, cs, len(cs) <= 1 AND length(t) > {L.WRAP_FACTOR * target} AS long,
-                     unnest(range(0, CASE WHEN len(cs) <= 1 AND length(t) > {L.WRAP_FACTOR * target} THEN CAST(ceil((length(t) - {target}) / {step}.0) AS BIGINT) + 1 ELSE len(cs) END)) AS k FROM made))"""
+                     unnest(range(0, CASE WHEN len(cs) <= 1 AND length(t) > {L.WRAP_FACTOR * target}
+                         THEN CAST(ceil((length(t) - {target}) / {step}.0) AS BIGINT) + 1 ELSE len(cs) END)) AS k FROM made))"""
 
 
 def index() -> str:
@@ -119,7 +120,8 @@ def index() -> str:
 def retrieval(k: int = L.TOP_K) -> str:
     """retrieved(question_id, doc_id, rank, chunk_index, score, text) from questions and asks."""
     return f"""
-    qt AS (SELECT question_id, term, count(*) / any_value(n) AS share FROM (SELECT question_id, len({tokens("question")}) AS n, unnest({tokens("question")}) AS term FROM questions) GROUP BY question_id, term),
+    qt AS (SELECT question_id, term, count(*) / any_value(n) AS share FROM (SELECT question_id, len({tokens("question")}) AS n,
+        unnest({tokens("question")}) AS term FROM questions) GROUP BY question_id, term),
     wanted AS (SELECT question_id, doc_id, term, share * idf AS wq FROM asks JOIN qt USING (question_id) JOIN vocabulary USING (doc_id, term)),
     lengths AS (SELECT question_id, doc_id, sqrt(sum(wq * wq)) AS q_norm FROM wanted GROUP BY ALL),
     dots AS (SELECT question_id, doc_id, chunk_index, sum(wq * weight) AS dot FROM wanted JOIN weighted USING (doc_id, term) GROUP BY ALL),
@@ -131,8 +133,10 @@ def retrieval(k: int = L.TOP_K) -> str:
 def _coverage(name: str, besides: list[str] | None, evidence: str, more: str) -> str:
     """name(question_id, doc_id, more..., coverage, overlap): of the question's stems in the stems of ``evidence`` rows (es)."""
     return f"""
-    {name}_t AS (SELECT question_id, s AS stem, min(p) AS pos FROM (SELECT question_id, unnest({stems("question", besides)}) AS s, generate_subscripts({stems("question", besides)}, 1) AS p FROM questions) GROUP BY question_id, s),
-    {name}_w AS (SELECT question_id, doc_id, stem, pos, coalesce(weight, unseen, 1) AS w FROM asks JOIN {name}_t USING (question_id) LEFT JOIN known USING (doc_id, stem) LEFT JOIN unseen USING (doc_id)),
+    {name}_t AS (SELECT question_id, s AS stem, min(p) AS pos FROM (SELECT question_id, unnest({stems("question", besides)}) AS s,
+        generate_subscripts({stems("question", besides)}, 1) AS p FROM questions) GROUP BY question_id, s),
+    {name}_w AS (SELECT question_id, doc_id, stem, pos, coalesce(weight, unseen, 1) AS w FROM asks
+        JOIN {name}_t USING (question_id) LEFT JOIN known USING (doc_id, stem) LEFT JOIN unseen USING (doc_id)),
     {name} AS (SELECT e.question_id, e.doc_id, {more}, coalesce(sum(CASE WHEN list_contains(es, stem) THEN w ELSE 0 END) / nullif(sum(w), 0), 0) AS coverage, count(CASE WHEN list_contains(es, stem) THEN 1 END) AS overlap
                FROM {evidence} e LEFT JOIN {name}_w USING (question_id, doc_id) GROUP BY ALL)"""
 
@@ -189,7 +193,8 @@ def answers() -> str:
     cuts AS (SELECT question_id, doc_id, i, l, array_to_string(ss[i : i + l - 1], ' ') AS span, list_transform(ss[i : i + l - 1], lambda x: {inside}) AS inner_stems
              FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM to_cut), (VALUES (1), (2)) v(l) WHERE i + l - 1 <= len(ss) AND len(ss) > 1),
     weighed AS (SELECT question_id, doc_id, i, l, span, sum(CASE WHEN list_contains(flatten(inner_stems), stem) THEN w ELSE 0 END) AS weight FROM cuts JOIN q_weights USING (question_id, doc_id) GROUP BY ALL),
-    best_cut AS (SELECT question_id, doc_id, span FROM (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY round(weight, {P}) DESC, l DESC, length(span), i) AS r FROM weighed) WHERE r = 1 AND round(weight, {P}) > 0),
+    best_cut AS (SELECT question_id, doc_id, span FROM (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY round(weight, {P}) DESC, l DESC,
+        length(span), i) AS r FROM weighed) WHERE r = 1 AND round(weight, {P}) > 0),
     answered AS (
         SELECT p.*, CASE WHEN reason <> 'supported' THEN '{L.REFUSAL.replace("'", "''")}' ELSE
                CASE support_kind WHEN 'explicit_negative' THEN 'No. ' WHEN 'instruction_description' THEN 'The document says: ' ELSE '' END
