@@ -19,7 +19,6 @@ gives no rows, other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -32,15 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunk_encoding import ChunkEncoder
 from .common import arrow_schema, materialize, partitions, prepare
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each Spark task
-
-from tokenizers import Tokenizer  # noqa: E402
-
 #: Characters of text that a chunk gathers, units that a worker remembers and aligns at once, and the memory of its DuckDB.
 CHUNK, REMEMBERED, AT_ONCE, MEMORY = 4 << 20, 300_000, 50_000, "256MB"
-MARK = "▁"
+MARK, WHITE = "▁", ("", " ", "\n", "\x00")
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 RUNS = re.compile(r"\s[ \n]")
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -78,8 +74,8 @@ class Aligner:
     _made: dict[tuple[str, str], Aligner] = {}
 
     def __init__(self, path_a: str, path_b: str):
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.encoder = ChunkEncoder(path_a, special_as_text=True)
+        self.a = self.encoder.tokenizer
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         own = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(own.values()) + 1)
@@ -87,6 +83,7 @@ class Aligner:
             self.bytes_a[i] = bytes(_AS_BYTE[c] for c in token) if all(c in _AS_BYTE for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.mark = self.b.piece_to_id(MARK)
         if any(re.search(f"[^{MARK}]{MARK}|[ \n]", p) for p in pieces):
             raise ValueError("pieces run over spaces or line breaks, so units cannot be encoded by themselves")
@@ -98,15 +95,29 @@ class Aligner:
     def _forget(self) -> None:
         """Nothing is known: units' places, and by place whether both sides have its bytes, its counts, groups and links."""
         self.slots: dict[str, int] = {}
+        self.met = np.zeros(0, np.int64)  # in how many chunks
         self.good, self.counts = np.zeros(0, bool), {k: np.zeros(0, np.int64) for k in _COUNTED}
         self.shown: list[bytes] = []
         self.links = np.zeros((0, 2), np.int32)  # (a, b) of all units, one unit after another
         self.ends = np.zeros(1, np.int64)  # where each unit's links begin, and the end
 
+    def _thin(self) -> None:
+        """Forget what only one chunk had, or everything where that is still too much."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > REMEMBERED // 2:
+            return self._forget()
+        names, kept = list(self.slots), keep.tolist()
+        lengths = self.ends[keep + 1] - self.ends[keep]
+        self.links = self.links[spans_of(self.ends[keep], lengths)]
+        self.ends = np.concatenate([[0], np.cumsum(lengths)])
+        self.good, self.met, self.counts = self.good[keep], self.met[keep], {k: v[keep] for k, v in self.counts.items()}
+        self.shown = [self.shown[i] for i in kept]
+        self.slots = {names[i]: n for n, i in enumerate(kept)}
+
     def places(self, flat: list[str]) -> np.ndarray:
-        """The places of units, of which the new ones are aligned."""
+        """The places of a chunk's units, of which the new ones are aligned."""
         if len(self.slots) > REMEMBERED:
-            self._forget()
+            self._thin()
         out = np.fromiter(map(self.slots.get, flat, repeat(-1)), np.int64, len(flat))
         holes = np.flatnonzero(out < 0).tolist()
         new = list(dict.fromkeys(flat[i] for i in holes))
@@ -114,13 +125,14 @@ class Aligner:
             self._learn(new[at : at + AT_ONCE])
         if holes:
             out[holes] = [self.slots[flat[i]] for i in holes]
+        self.met[np.unique(out)] += 1
         return out
 
     def _learn(self, found: list[str]) -> None:
         good, counts, shown, unit, links = self.align(found)
         for u in found:
             self.slots[u] = len(self.slots)
-        self.good = np.concatenate([self.good, good])
+        self.good, self.met = np.concatenate([self.good, good]), np.concatenate([self.met, np.zeros(len(found), np.int64)])
         self.counts = {k: np.concatenate([self.counts[k], counts[k]]) for k in _COUNTED}
         self.shown += shown
         self.links = np.concatenate([self.links, links[np.argsort(unit, kind="stable")]])
@@ -134,7 +146,11 @@ class Aligner:
 
     def tokens(self, found: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides for units; the second side adds the first space itself, and has a mark before a line break."""
-        left = [e.ids for e in self.a.encode_batch_fast(found, add_special_tokens=False)]
+        # the encoder's way for plain chunks, which it names without their space; white space after that is not plain
+        left = [None if u[0] == " " and u[1:2] in WHITE else self.encoder._plain(u[1:] if u[0] == " " else u) for u in found]
+        odd = [i for i, x in enumerate(left) if x is None]
+        for i, e in zip(odd, self.a.encode_batch_fast([found[i] for i in odd], add_special_tokens=False) if odd else (), strict=True):
+            left[i] = e.ids
         right = self.b.encode([u[1:] if u[0] == " " else u for u in found], num_threads=1) if found else []
         for i, u in enumerate(found):
             if u == " ":
@@ -143,21 +159,28 @@ class Aligner:
                 right[i] = right[i][1:] if right[i][:1] == [self.mark] else []
         return left, right
 
-    def _intervals(self, ids: list[list[int]], known: list[bytes], numbers: np.ndarray) -> dict[str, np.ndarray]:
+    @staticmethod
+    def _intervals(ids: list[list[int]], sizes: np.ndarray) -> dict[str, np.ndarray]:
         flat = np.fromiter(chain.from_iterable(ids), np.int32)
-        lengths = np.fromiter((len(known[i]) for i in flat.tolist()), np.int64, len(flat))
-        ends = np.cumsum(lengths)
-        return {"n": np.arange(len(flat)), "unit": np.repeat(numbers, [len(x) for x in ids]), "id": flat, "lo": ends - lengths, "hi": ends}
+        ends = np.cumsum(sizes[flat])
+        return {"n": np.arange(len(flat)), "unit": np.repeat(np.arange(len(ids)), [len(x) for x in ids]), "id": flat, "lo": ends - sizes[flat], "hi": ends}
+
+    @staticmethod
+    def _same(data: list[bytes], ids: list[list[int]], known: list[bytes], side: dict[str, np.ndarray]) -> np.ndarray:
+        """Whose tokens' bytes are those of the unit: all at once, or else one by one."""
+        sizes = np.bincount(side["unit"], weights=side["hi"] - side["lo"], minlength=len(data))
+        if (sizes == [len(x) for x in data]).all() and b"".join([known[i] for i in chain.from_iterable(ids)]) == b"".join(data):
+            return np.ones(len(data), bool)
+        return np.array([b"".join([known[i] for i in x]) == d for x, d in zip(ids, data, strict=True)], bool)
 
     def align(self, found: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray], list[bytes], np.ndarray, np.ndarray]:
         """Of units: which have the same bytes on both sides, their counts, groups as text, and the links with their units."""
-        left, right = self.tokens(found)
-        good = np.zeros(len(found), bool)
-        for i, u in enumerate(found):
-            data = u.encode()
-            good[i] = b"".join([self.bytes_a[x] for x in left[i]]) == data and b"".join([self.bytes_b[x] for x in right[i]]) == data
-        numbers = np.flatnonzero(good)
-        sides = [self._intervals([ids[i] for i in numbers.tolist()], known, numbers) for ids, known in ((left, self.bytes_a), (right, self.bytes_b))]
+        tokens, data = self.tokens(found), [u.encode() for u in found]
+        known, sizes = (self.bytes_a, self.bytes_b), (self.sizes_a, self.sizes_b)
+        sides = [self._intervals(*x) for x in zip(tokens, sizes, strict=True)]
+        good = np.logical_and(*(self._same(data, *x) for x in zip(tokens, known, sides, strict=True)))
+        if not good.all():
+            sides = [self._intervals([t if ok else [] for t, ok in zip(x, good.tolist(), strict=True)], n) for x, n in zip(tokens, sizes, strict=True)]
         for x, side in zip("ab", sides, strict=True):
             self.sql.register(f"{x}_rows", pa.table(side))
             self.sql.execute(f"CREATE OR REPLACE TEMP TABLE {x} AS SELECT * FROM {x}_rows")
