@@ -17,14 +17,30 @@ def golden_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return cases, data.select(F.explode("documents").alias("document", "path"))
 
 
+#: Paths up to which only the listed files are read; more are matched to all files below the root.
+MOST_LISTED = 10_000
+
+
 def text_documents(spark: SparkSession, paths: DataFrame, root: str) -> DataFrame:
-    """(document, text): whole files below ``root``, matched to (document, path) by their path relative to it."""
+    """(document, text): whole files below ``root``, matched to (document, path) by their path relative to it.
+
+    Only listed files are read, and missing ones have no row. Beyond MOST_LISTED paths, or where a name holds signs of a
+    pattern, the whole folder is read and matched.
+    """
+    wanted = paths.select("document", F.regexp_replace("path", r"^(\./)+", "").alias("path")).where("path IS NOT NULL")
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     start = len(system.makeQualified(at).toUri().getPath().rstrip("/")) + 2
+    listed = [r.path for r in wanted.select("path").distinct().limit(MOST_LISTED + 1).collect()]
+    if len(listed) <= MOST_LISTED and not any(set(p) & set("*?[]{}\\") for p in listed):
+        known = [f"{root.rstrip('/')}/{p}" for p in listed if p and system.isFile(spark._jvm.org.apache.hadoop.fs.Path(at, spark._jvm.org.apache.hadoop.fs.Path(None, None, p)))]
+        if not known:
+            return wanted.select("document", F.lit("").alias("text")).limit(0)
+        files = spark.read.text(known, wholetext=True)
+    else:
+        files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     file = F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), r"\+", "%2B"))
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.substr(file, F.lit(start)).alias("path"))
-    return paths.select("document", F.regexp_replace("path", r"^(\./)+", "").alias("path")).join(files, "path").select("document", "text")
+    return wanted.join(files.select(F.col("value").alias("text"), F.substr(file, F.lit(start)).alias("path")), "path").select("document", "text")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

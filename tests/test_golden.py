@@ -198,6 +198,10 @@ def test_text_documents_by_relative_path(spark, tmp_path):
     got = text_documents(spark, paths, str(tmp_path))
     assert {(r.document, r.text) for r in got.collect()} == {("x", "first\nsecond"), ("y", "plus")}
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert len(got.inputFiles()) == 2  # of the listed files only
+    odd = spark.createDataFrame([("x", "a/one two.md"), ("v", "*.md"), ("w", None)], "document string, path string")
+    assert [(r.document, r.text) for r in text_documents(spark, odd, str(tmp_path)).collect()] == [("x", "first\nsecond")]
+    assert text_documents(spark, paths.where("document = 'z'"), str(tmp_path)).count() == 0
 
 
 def test_answers_without_an_index(spark):
