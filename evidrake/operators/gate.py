@@ -6,14 +6,14 @@ stems as a map; the rules are expressions over that row, so nothing is shuffled
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import (
-    asks_about_instruction, content_stems, evidence_sentences, has_negation, is_instruction_evidence, is_positive_yes_no, restem, starts_with_negation,
+    asks_about_instruction, content_stems, evidence_sentences, has_negation, is_instruction_evidence, is_positive_yes_no, restem, starts_with_negation, stem,
 )
-from .index import Index, stem_weights
+from .index import Index
 from .retrieval import retrieve
 
 
@@ -39,12 +39,16 @@ def gather(retrieved: DataFrame, questions: DataFrame, asks: DataFrame, posts: D
     """(question_id, keys, question, results, weights, unseen); pairs without chunks have an empty array."""
     parts = F.struct("rank", "chunk_index", "score", "text", *(["stems"] if "stems" in retrieved.columns else []))
     results = retrieved.groupBy("question_id", *keys).agg(F.array_sort(F.collect_list(parts)).alias("results"))
-    # the largest weight of the scope matters only beside a known stem: without one every share is 0
-    known = stem_weights(posts, keys).withColumn("top", F.max("weight").over(Window.partitionBy(*keys)))
     stems = content_stems(F.col("question"))
     asked = questions.select("question_id", F.explode(F.array_distinct(F.concat(stems, restem(stems)))).alias("stem"))
+    # only postings with a stem that is asked for are shuffled; the largest weight of a scope is its largest idf
+    known = posts.select(*keys, stem(F.col("term")).alias("stem"), "idf").join(asked.select("stem").distinct(), "stem", "left_semi")
+    known = known.groupBy(*keys, "stem").agg(F.max("idf").alias("weight"))
+    top = posts.groupBy(*keys).agg(F.max("idf").alias("top"))
     found = asks.select("question_id", *keys).distinct().join(asked, "question_id").join(known, [*keys, "stem"])
-    found = found.groupBy("question_id", *keys).agg(F.map_from_entries(F.collect_list(F.struct("stem", "weight"))).alias("weights"), F.greatest(F.lit(1.0), F.first("top")).alias("unseen"))
+    # it matters only beside a known stem: without one every share is 0
+    found = found.groupBy("question_id", *keys).agg(F.map_from_entries(F.collect_list(F.struct("stem", "weight"))).alias("weights"))
+    found = found.join(top, list(keys)).select("question_id", *keys, "weights", F.greatest(F.lit(1.0), "top").alias("unseen"))
     rows = asks.select("question_id", *keys).distinct().join(questions.select("question_id", "question"), "question_id")
     rows = rows.join(results, ["question_id", *keys], "left").join(found, ["question_id", *keys], "left")
     empty = F.array().cast(results.schema["results"].dataType)
