@@ -76,7 +76,7 @@ def test_many_questions_read_the_postings_once(spark):
     questions = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=rng.randint(1, 3)))) for i in range(3000)] + [(None, "bar cel"), (-1, None), (-2, "the of")], "question_id long, question string")
     index = build_index(docs)
     few = retrieve(index.chunks, questions, None, 2, index.postings)
-    hot = hot_terms(index.postings, 20)
+    hot = hot_terms(index.postings, 5)
     assert hot.count() > 3 and hot.agg(F.max("parts")).first()[0] > 2
     split = retrieve(index.chunks, questions, None, 2, index.postings, at_once=100, hot=hot)
     assert rows(split) == rows(few) and split.count() > 30_000
