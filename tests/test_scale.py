@@ -1,9 +1,11 @@
 """What a task holds does not grow with the table, and texts are not dealt more often than they must."""
 
+import re
+
 import pytest
-from pyspark.sql import functions as F
 
 from evidrake.operators.index import build_index
+from evidrake.operators.retrieval import ranked
 from evidrake.plans import catalog
 from evidrake.sources import files
 
@@ -22,12 +24,6 @@ def table(spark, tmp_path, given):
     return folder
 
 
-def most(df):
-    """Rows of the largest partition, and how many have rows."""
-    n = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
-    return n[0], n[1]
-
-
 @pytest.mark.parametrize("name", ["doc_frequency", "vocabulary", "tfidf_norms", "normalized_idf"])
 def test_terms_are_dealt_by_the_size_of_texts(spark, tmp_path, monkeypatch, name):
     folder = table(spark, tmp_path, [*enumerate(texts(60, 7)), (None, "bar cel. " * 300), (61, None), (62, " ")])
@@ -40,3 +36,19 @@ def test_terms_are_dealt_by_the_size_of_texts(spark, tmp_path, monkeypatch, name
 def test_stored_postings_are_dealt_by_the_size_of_texts(spark, small_tasks):
     docs = spark.createDataFrame(list(enumerate(texts(60, 7))), "doc_id long, text string")
     assert len(build_index(docs).postings.inputFiles()) > 20
+
+
+def asked(spark):
+    docs = spark.createDataFrame([*enumerate(texts(60, 8)), (60, None), (61, " "), (62, "No bar occurred there. It cels.")], "doc_id long, text string")
+    questions = spark.createDataFrame([("a", "Did the bar occur?"), ("b", "Which bars and cels?"), ("c", "the of"), ("d", "unknown"), ("e", None)], "question_id string, question string")
+    return docs, questions, build_index(docs, 100, 10)
+
+
+def test_questions_to_every_scope_are_ranked_where_postings_lie(spark, small_tasks):
+    docs, questions, index = asked(spark)
+    pairs = docs.select("doc_id").crossJoin(questions.select("question_id"))
+    got = ranked(index.chunks, questions, None, 3, index.postings)
+    assert got.rdd.getNumPartitions() > 20
+    assert rows(got) == rows(ranked(index.chunks, questions, pairs, 3, index.postings)) and got.count() > 600
+    # postings and first chunks are dealt by scope; nothing is dealt after they met the questions
+    assert not re.search(r"hashpartitioning\(question_id#\d+, doc_id", got._jdf.queryExecution().executedPlan().toString())
