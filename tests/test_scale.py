@@ -4,8 +4,9 @@ import re
 
 import pytest
 
+from evidrake.operators.gate import assess, assessed_pairs, decide, gather
 from evidrake.operators.index import build_index
-from evidrake.operators.retrieval import ranked
+from evidrake.operators.retrieval import ranked, retrieve
 from evidrake.plans import catalog
 from evidrake.sources import files
 
@@ -52,3 +53,16 @@ def test_questions_to_every_scope_are_ranked_where_postings_lie(spark, small_tas
     assert rows(got) == rows(ranked(index.chunks, questions, pairs, 3, index.postings)) and got.count() > 600
     # postings and first chunks are dealt by scope; nothing is dealt after they met the questions
     assert not re.search(r"hashpartitioning\(question_id#\d+, doc_id", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_a_text_is_sent_to_its_scope_once(spark):
+    docs, questions, index = asked(spark)
+    pairs = docs.select("doc_id").crossJoin(questions.select("question_id"))
+    found = retrieve(index.chunks, questions, pairs, posts=index.postings)
+    want = decide(assess(gather(found, questions, pairs, index.postings, ("doc_id",))))
+    for everywhere in (False, True):
+        got = decide(assessed_pairs(index, questions, pairs, everywhere=everywhere))
+        assert rows(got) == rows(want)
+    # the ranks that are gathered by question and scope come without texts
+    ranks = ranked(index.chunks, questions, None, posts=index.postings)
+    assert "text" not in ranks.columns and rows(decide(assess(gather(ranks, questions, pairs, index.postings, ("doc_id",), index.chunks)))) == rows(want)
