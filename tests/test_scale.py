@@ -4,6 +4,9 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from evidrake.operators import corpus
 from evidrake.operators.gate import assess, assessed_pairs, decide, gather
 from evidrake.operators.index import build_index
 from evidrake.operators.retrieval import ranked, retrieve
@@ -66,3 +69,15 @@ def test_a_text_is_sent_to_its_scope_once(spark):
     # the ranks that are gathered by question and scope come without texts
     ranks = ranked(index.chunks, questions, None, posts=index.postings)
     assert "text" not in ranks.columns and rows(decide(assess(gather(ranks, questions, pairs, index.postings, ("doc_id",), index.chunks)))) == rows(want)
+
+
+@pytest.mark.parametrize("common", [3, 1 << 16])
+def test_postings_of_the_corpus_stay_where_their_block_lies(spark, small_tasks, monkeypatch, common):
+    docs, questions, _ = asked(spark)
+    monkeypatch.setattr(corpus, "COMMON", common)
+    index = corpus.build_corpus_index(docs, 100, 10, block=8)
+    whole = index.chunks.select(F.lit(0).alias("scope"), (F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_index"), "text")
+    want = retrieve(whole, questions, None, 7, keys=("scope",)).select("question_id", "rank", "chunk_index", "score", "text")
+    got = corpus.retrieve_corpus(index, questions, 7)
+    assert rows(got.select("question_id", "rank", (F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_index"), "score", "text")) == rows(want) and got.count() == 35
+    assert index.blocks.groupBy("block").agg(F.count_distinct("_metadata.file_path").alias("n")).where("n > 1").count() == 0
