@@ -30,7 +30,7 @@ def ask(
     checked = checked_asks(asks, questions, documents)
     valid = checked.where("error IS NULL").select("question_id", "doc_id")
     index = index or build_index(documents.join(valid.select("doc_id").distinct(), "doc_id", "left_semi"), target, overlap)
-    done = A.answer(decide(assessed_pairs(index, questions, valid, k), threshold))
+    done = A.answer(decide(assessed_pairs(index, questions.select("question_id", "question"), valid, k), threshold))
     if caller is not None:
         done = provider.with_fallback(provider.call(provider.prompts(done), caller, deadline, store=answer_store))
     told = A.response(done, index.chunks, provider_available=caller is not None)

@@ -71,6 +71,13 @@ def test_a_text_is_sent_to_its_scope_once(spark):
     assert "text" not in ranks.columns and rows(decide(assess(gather(ranks, questions, pairs, index.postings, ("doc_id",), index.chunks)))) == rows(want)
 
 
+def test_pairs_are_dealt_by_the_size_of_their_texts(spark, small_tasks):
+    docs, questions, index = asked(spark)
+    pairs = docs.select("doc_id").crossJoin(questions.select("question_id"))
+    got = assessed_pairs(index, questions.withColumn("label", F.lit(1)), pairs)
+    assert got.rdd.getNumPartitions() > 20 and got.where("label = 1").count() == pairs.count()
+
+
 @pytest.mark.parametrize("common", [3, 1 << 16])
 def test_postings_of_the_corpus_stay_where_their_block_lies(spark, small_tasks, monkeypatch, common):
     docs, questions, _ = asked(spark)
