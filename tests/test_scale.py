@@ -78,7 +78,7 @@ def test_pairs_are_dealt_by_the_size_of_their_texts(spark, small_tasks):
     assert got.rdd.getNumPartitions() > 20 and got.where("label = 1").count() == pairs.count()
 
 
-@pytest.mark.parametrize("name", ["eval_threshold_curve"])
+@pytest.mark.parametrize("name", ["eval_threshold_curve", "answer_context"])
 def test_cases_are_assessed_once(spark, name):
     got = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     # what is filtered or read twice is stored: no rule of the assessment is left in the plan, where each use would apply it again
